@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm.bpe import bpe_encode
 from tidewheel.llm.common import table
+from tidewheel.llm.mixing import MIX_SQL, mix
+from tidewheel.llm.sharding import shard
 from tidewheel.llm.simhash import simhash_components
 
 
@@ -21,9 +23,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("n_taken")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_mixing": MIX_SQL}
