@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm.bpe import bpe_encode
+from tidewheel.llm.chat import ROTATE_SQL, rotate, with_text_spans
 from tidewheel.llm.common import table
 from tidewheel.llm.mixing import MIX_SQL, mix
+from tidewheel.llm.multiset import fingerprint_and_edit
 from tidewheel.llm.sharding import shard
 from tidewheel.llm.simhash import simhash_components
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_text_spans(rotate(table(spark, sf_dir, "conversations")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_and_edit(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("n_taken")
 
@@ -32,10 +42,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op5_multiset": op5_multiset,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {"op9_mixing": MIX_SQL}
+SQL: dict[str, str] = {"op1_chat": ROTATE_SQL, "op9_mixing": MIX_SQL}
