@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewheel.llm.bpe import bpe_encode
 from tidewheel.llm.chat import ROTATE_SQL, rotate, with_text_spans
 from tidewheel.llm.common import table
+from tidewheel.llm.linededup import LINES_SQL, dedup_lines, digest
 from tidewheel.llm.mixing import MIX_SQL, mix
 from tidewheel.llm.multiset import fingerprint_and_edit
 from tidewheel.llm.sharding import shard
@@ -33,6 +34,10 @@ def op5_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_and_edit(table(spark, sf_dir, "documents"))
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, keep="none"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("n_taken")
 
@@ -46,8 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op5_multiset": op5_multiset,
+    "op6_linededup": op6_linededup,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {"op1_chat": ROTATE_SQL, "op9_mixing": MIX_SQL}
+SQL: dict[str, str] = {"op1_chat": ROTATE_SQL, "op6_linededup": LINES_SQL, "op9_mixing": MIX_SQL}
