@@ -228,10 +228,11 @@ def repeated_lines(
             "key binary, n long, first long",
         )
     else:
-        lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-        lines = lines.select("row", "id", _key_column(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+        keys = F.explode(F.array_distinct(F.transform("lines", _key_column))).alias("key")
+        lines = rows.select("id", keys).filter(F.length("key") >= min_chars)
         lines = lines.withColumn("key", F.col("key").cast("binary"))
-        lines = lines.distinct().groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("first"))
+        lines = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("first"))
         suspects = lines.filter("n > 1")
     return suspects.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= min_docs)
 
