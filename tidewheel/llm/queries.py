@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewheel.llm.bpe import bpe_encode
 from tidewheel.llm.chat import ROTATE_SQL, rotate, with_text_spans
 from tidewheel.llm.common import table
+from tidewheel.llm.forest import nearest
 from tidewheel.llm.linededup import LINES_SQL, dedup_lines, digest
 from tidewheel.llm.mixing import MIX_SQL, mix
 from tidewheel.llm.multiset import fingerprint_and_edit
@@ -30,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op5_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_and_edit(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_forest": op4_forest,
     "op5_multiset": op5_multiset,
     "op6_linededup": op6_linededup,
     "op9_mixing": op9_mixing,
