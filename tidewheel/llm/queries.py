@@ -15,6 +15,7 @@ from tidewheel.llm.mixing import MIX_SQL, mix
 from tidewheel.llm.multiset import fingerprint_and_edit
 from tidewheel.llm.sharding import shard
 from tidewheel.llm.simhash import simhash_components
+from tidewheel.llm.toxicity import toxicity
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, keep="none"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("n_taken")
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_forest": op4_forest,
     "op5_multiset": op5_multiset,
     "op6_linededup": op6_linededup,
+    "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
