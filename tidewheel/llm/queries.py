@@ -10,6 +10,7 @@ from tidewheel.llm.bpe import bpe_encode
 from tidewheel.llm.chat import ROTATE_SQL, rotate, with_text_spans
 from tidewheel.llm.common import table
 from tidewheel.llm.forest import nearest
+from tidewheel.llm.langid import identify
 from tidewheel.llm.linededup import LINES_SQL, dedup_lines, digest
 from tidewheel.llm.mixing import MIX_SQL, mix
 from tidewheel.llm.multiset import fingerprint_and_edit
@@ -48,6 +49,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("n_taken")
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_multiset": op5_multiset,
     "op6_linededup": op6_linededup,
     "op7_toxicity": op7_toxicity,
+    "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
