@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,20 +204,21 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, *, with_ids: bool = False,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value, leaf)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[tuple] = []
-                for text in part.column(1):
-                    n, ids, decoded = codec.encode_strings(text.as_py() or "")
-                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    out.append((*row, [int(x) for x in ids.split()]) if with_ids else row)
-                cols = list(zip(*out, strict=True))
-                arrays = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    arrays.append(pa.array(cols[3], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            rows: list[tuple] = []
+            held = start = 0
+            for at, text in enumerate(batch.column(1), 1):
+                n, ids, decoded = codec.encode_strings(text.as_py() or "")
+                row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                rows.append((*row, np.array(ids.split(), np.int32)) if with_ids else row)
+                held += n
+                if at == batch.num_rows or with_ids and held > 1_000_000:  # bounds what a task holds
+                    cols = list(zip(*rows, strict=True))
+                    arrays = [batch.column(0).slice(start, at - start), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
+                    if with_ids:
+                        ends = np.cumsum([0, *cols[0]]).astype(np.int32)
+                        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[3]))))
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays)])
+                    rows, held, start = [], 0, at
 
     return over_batches(
         docs.select(F.col("doc_id").cast("long"), F.col("text")), run, schema + (", ids array<int>" if with_ids else "")

@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of every contract here: \x20 and \x09-\x0D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -20,15 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder of ``spark.checkpoint.dir``, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Sets a folder of its own only where neither that setting nor the context names one (tests).
+    Only where neither that setting nor the context names one (tests), a folder is made for it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewheel-checkpoint-"))
+        named = sc.getCheckpointDir()
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -47,7 +55,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def over_batches(
-    df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
+    df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
@@ -62,3 +70,9 @@ def utf8(text: str = "text") -> Column:
 def crc_fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def with_fields(first: str, df: DataFrame, names: Iterable[str], last: str) -> T.StructType:
+    """A schema: fields as DDL, columns of ``df``, fields as DDL."""
+    parse = lambda ddl: list(T.StructType.fromDDL(ddl).fields)
+    return T.StructType([*parse(first), *(df.schema[c] for c in names), *parse(last)])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import cut, over_batches, utf8
+from tidewheel.llm.common import cut, over_batches, utf8, with_fields
 
 MAX_FILTER_BYTES = 64 << 20
 MAX_KEYS_BYTES = 64 << 20
@@ -256,8 +256,7 @@ def dedup_lines(
     if weight <= max_keys_bytes:
         keys = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]): r["first"] for r in confirmed.collect()})
         d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), *rest)
-        kinds = "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in carry)
-        schema = f"doc_id long{kinds}, n_lines long, n_dropped long, kept string"
+        schema = with_fields("doc_id long", d, carry, "n_lines long, n_dropped long, kept string")
         return over_batches(d, lambda it: _drop(it, keys.value, keep == "first", min_chars), schema)
     d = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest))
     lines = d.select("row", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))

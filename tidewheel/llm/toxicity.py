@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import crc_fold, cut, over_batches
+from tidewheel.llm.common import crc_fold, cut, over_batches, with_fields
 
 MAX_FIT_DOCS = 10_000
 #: Share of a toxic document's words that come from the toxic model; the others are ordinary words.
@@ -216,10 +216,9 @@ def score(docs: DataFrame, models: Models | None, carry: tuple[str, ...] = ()) -
     """doc_id, the columns named in ``carry``, score of every row."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("t"), *carry)
     if models is None:
-        return d.drop("t").withColumn("score", F.lit(0.0))
+        return d.select("doc_id", *carry, F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    kinds = "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in carry)
-    return over_batches(d, lambda it: _evidence(it, sent.value, True), f"doc_id long{kinds}, score double")
+    return over_batches(d, lambda it: _evidence(it, sent.value, True), with_fields("doc_id long", d, carry, "score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, max_fit_docs: int = MAX_FIT_DOCS) -> DataFrame:
