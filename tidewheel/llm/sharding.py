@@ -1,8 +1,8 @@
 """Sharding by sampled splitters.
 
 Records are ordered by the hash of their text, so equal texts stand together.  A
-sample of keys, drawn by size (the keys with the smallest exponential arrival times, at
-a rate of a record's size), gives quantiles that cut the key range into many narrow ranges of about
+sample of keys, drawn by size (the keys with short exponential waiting times, at
+the rate of a record's size), gives quantiles that cut the key range into many narrow ranges of about
 equal bytes.  A hash that takes several quantiles for itself is an overfull range; it
 becomes a range of its own and is subdivided by id.  The exact bytes of the ranges, in
 order, then say which ranges make up a shard, and running counts give slots.
@@ -32,9 +32,14 @@ FINE, PER_RANGE = 64, 16
 
 
 def splitters(keyed: DataFrame, shards: int, fine: int = FINE, per_range: int = PER_RANGE) -> tuple[np.ndarray, np.ndarray]:
-    """(ordered splitters, how many quantiles each of them took) from a sample bounded by shards x fine x per_range keys."""
+    """(ordered splitters, how many quantiles each of them took) from a sample of about shards x fine x per_range keys.
+
+    A key waits for an exponential time at the rate of its size; those that wait less than the time in
+    which so many are due are the sample, so every task decides by itself and sends little.
+    """
+    total = keyed.agg(F.sum("size")).first()[0] or 1
     wait = -F.log((F.pmod(F.xxhash64(F.lit("wait"), "h", "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("size")
-    sample = keyed.select("h", wait.alias("wait")).orderBy("wait", "h").limit(shards * fine * per_range).select("h")
+    sample = keyed.filter(wait < shards * fine * per_range / total).select("h")
     keys = np.sort(np.array([r["h"] for r in sample.collect()], np.int64))
     if not len(keys):
         return np.array([], np.int64), np.array([], np.int64)
