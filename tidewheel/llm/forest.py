@@ -185,7 +185,9 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, *, share: float | Non
         same = v.filter(F.size("embedding") == dim)
         fitted = share
         if fitted is None:
-            sample = same.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding")
+            rate = FIT_ROWS / max(1, same.count())  # about FIT_ROWS by a threshold on the hash; the limit bounds it
+            due = F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 30)) < int(rate * (1 << 30))
+            sample = same.filter(due).select("embedding").limit(2 * FIT_ROWS)
             fitted = fit_share(np.array([r[0] for r in sample.collect()]), k)
         ask = same.filter(is_query).dropDuplicates(["vec_id"])
         portions = max(1, -(-ask.count() * dim * 8 // max_query_bytes))
