@@ -40,6 +40,8 @@ DISCOUNTS = (1.0, 1.6, 2.2)
 #: Discount of a pair of words.
 PAIR_DISCOUNT = 4.0
 START = 0
+#: Tokens scored at once.
+PORTION = 1 << 18
 
 
 def tokens(text: Column) -> Column:
@@ -172,13 +174,17 @@ def calibrate(m: Models, x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np
 
 def _evidence(batches: Iterator[pa.RecordBatch], m: Models, scores: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        col = batch.column(1)
-        offsets = col.offsets.to_numpy().astype(np.int64)
-        t = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-        x, n = m.evidence(t, offsets - offsets[0])
-        cols = [m.score(x, n)] if scores else [x, n.astype(np.float64)]
-        rest = [batch.column(i) for i in range(2, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *rest, *map(pa.array, cols)], names=[str(i) for i in range(1 + len(rest) + len(cols))])
+        ends = batch.column(1).offsets.to_numpy().astype(np.int64)
+        a = 0
+        while a < batch.num_rows:  # a portion has PORTION tokens, or one document
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + PORTION, side="right")) - 1)
+            part = batch.slice(a, b - a)
+            t = batch.column(1).values.slice(ends[a], ends[b] - ends[a]).to_numpy(zero_copy_only=False)
+            x, n = m.evidence(t.astype(np.int64, copy=False), ends[a : b + 1] - ends[a])
+            cols = [m.score(x, n)] if scores else [x, n.astype(np.float64)]
+            rest = [part.column(i) for i in range(2, part.num_columns)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *rest, *map(pa.array, cols)], names=[str(i) for i in range(1 + len(rest) + len(cols))])
+            a = b
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_fit_docs: int) -> DataFrame:
