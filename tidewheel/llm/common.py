@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewheel.runtime import shared_folder, ship
+
 #: The white space of every contract here: \x20 and \x09-\x0D.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -21,39 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share.
-
-    Only where neither that setting nor the context names one (tests), a folder is made for it.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewheel-checkpoint-"))
-        named = sc.getCheckpointDir()
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder; its lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once per application), so that they needn't have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidewheel_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    to = os.path.join(tempfile.mkdtemp(prefix="tidewheel-"), "tidewheel_code.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(to)
-    sc._tidewheel_shipped = True
-
-
 def over_batches(
     df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
