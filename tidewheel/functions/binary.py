@@ -111,7 +111,7 @@ def decode_watermark(data: Column) -> Column:
     f = fields(data, WATERMARK)
     return _decoded(data, WATERMARK, [
         (F.octet_length(data) == 64, "length"), (_magic(data, MAGIC_WATERMARK), "magic"), (f["major"] == 1, "major"), (f["reserved"] == 0, "reserved"),
-        (f["record_digest"] == domain_digest("watermark", F.substring(data, 1, 32)), "digest"),
+        (f["record_digest"] == domain_digest("wall-watermark", F.substring(data, 1, 32)), "digest"),
     ])
 
 
@@ -152,4 +152,4 @@ def encode_receipt(**values: Column) -> Column:
 
 def encode_watermark(bucket: Column, sequence: Column) -> Column:
     head = _packed(MAGIC_WATERMARK, WATERMARK, {"major": F.lit(1), "minor": F.lit(1), "bucket": bucket, "sequence": sequence}, 32)
-    return F.concat(head, F.unhex(domain_digest("watermark", head)))
+    return F.concat(head, F.unhex(domain_digest("wall-watermark", head)))

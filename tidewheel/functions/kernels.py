@@ -232,7 +232,7 @@ def total_size(extension: Column, payload: Column) -> Column:
 
 def escaped(name: Column) -> Column:
     """A name as it is if it is printable ASCII without a backslash, else its bytes as \\xNN."""
-    odd = F.regexp_replace(F.lower(F.hex(name.cast("binary"))), "(..)", r"\\\\x$1")
+    odd = F.regexp_replace(F.lower(F.hex(name.cast("binary"))), "(..)", r"\\x$1")
     return F.when(name.rlike(r"^[\x20-\x5b\x5d-\x7e]*$"), name).otherwise(odd)
 
 

@@ -21,7 +21,7 @@ def fsck(files: DataFrame, config: QueueConfig, deep: bool = True) -> DataFrame:
     header is decoded once, in a projection of its own.  What needs stat or an open that fails can't be seen through Spark's reader.
     """
     data, head, problem = F.col("content"), F.col("_head"), F.col("_problem")
-    visited = files.filter(F.coalesce(F.col("directory"), F.lit("")) != "quarantine")
+    visited = files.filter(~F.col("relative_path").startswith("quarantine/"))
     active = F.col("state").isin("ready", "leased", "delayed", "dead")
     readable = active & (F.col("length") >= 128)
     fields = F.struct(*[c.alias(n) for n, c in B.fields(data, B.JOB).items() if n in ("job_id", "maximum_attempts", "payload_length", "payload_digest")])
