@@ -11,10 +11,9 @@ from tidewheel.llm.common import cut
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v), both long; root is the component's smallest node.
 
-    Contraction: each node points to its smallest neighbour if that is smaller, pointers
-    are followed twice, and edges are rewritten to where their ends point.  Every
-    component's number of nodes at least halves in a round, so rounds grow with the
-    logarithm of the longest chain.  A node of high degree is only ever an aggregation
+    Contraction: each node points to its smallest neighbour if that is smaller, pointers are
+    followed to their end by doubling, and edges are rewritten to where their ends point.  A component
+    with edges at least halves its nodes in a round, so rounds and doublings grow with logarithms.  A node of high degree is only ever an aggregation
     key or the many side of a join on unique rows.  An empty edge list gives no rows.
     """
     edges = cut(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -24,8 +23,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         p = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
         p = cut(p)
-        pp = p.join(p.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
-        pp = cut(pp)
+        while True:  # pointers double their reach until all are at a node that points to itself
+            further = p.join(p.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left")
+            pp = cut(further.select("u", F.coalesce("pp", "p").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+            p = pp.select("u", "p")
+            if pp.filter("moved").isEmpty():
+                break
+        pp = p
         labels = cut(
             labels.join(pp.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         )
