@@ -94,7 +94,6 @@ def combine(a: Column, b: Column) -> Column:
 
 def negate(a: Column) -> Column:
     """What takes the paragraphs of ``a`` away when combined."""
-    high = _long(_MASK32 << 32)
     return F.struct(
         (F.lit(0) - a["n"]).bitwiseAND(_long(_MASK32)).alias("n"),
         (F.lit(0) - a["d1"]).bitwiseAND(_long(_MASK62)).alias("d1"),

@@ -7,10 +7,10 @@ else.  The difference of the two log-likelihoods by token is the evidence.
 Both models back off from bigrams to their class's continuation counts and from those
 to counts that both classes share (in how many classes a word occurs), so that what is rare, or new,
 counts equally for both.  A logistic function, fitted on documents that the models haven't seen, turns the evidence into a
-score from 0 to 1.
+score from 0 to 1; there both classes weigh the same, whatever their sizes and however many of them were sampled.
 
 Models are learned from labelled documents outside the held-out fold, at most ``max_fit_docs`` of each class
-(those with the smallest hash of the id); words that occur once and pairs that occur up to 4 times are left to the backoff.
+(those with the smallest hash of the id); words that occur once and pairs that occur up to 24 times are left to the backoff.
 That bounds the tables, which are broadcast: 40 bytes an n-gram.  Scoring reads nothing but the text.
 
 A null text is empty; a document without words has the score of no evidence.  A document with
@@ -38,7 +38,7 @@ FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 #: Discounts of counts 1, 2 and over: what occurs once is all backoff.
 DISCOUNTS = (1.0, 1.6, 2.2)
 #: Discount of a pair of words.
-PAIR_DISCOUNT = 4.0
+PAIR_DISCOUNT = 24.0
 START = 0
 #: Tokens scored at once.
 PORTION = 1 << 18
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) ->
     x = x[x["n"] > 0]
     y = x["y"].to_numpy()
     if 0 < y.sum() < len(y):
-        calibrate(models, x["x"].to_numpy(), x["n"].to_numpy(), y, np.ones(len(y)))
+        calibrate(models, x["x"].to_numpy(), x["n"].to_numpy(), y, np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
     return models
 
 
