@@ -26,7 +26,7 @@ def test_multiset_is_homomorphic(spark):
         multiset.as_hex(multiset.combine(fa, fb)).alias("sum"), multiset.as_hex(multiset.of_text(F.concat("b", F.lit("\n"), "a"))).alias("joined"),
         multiset.as_hex(multiset.combine(multiset.combine(fa, fb), multiset.negate(fb))).alias("back"), multiset.as_hex(fa).alias("fa"),
         multiset.as_hex(multiset.remove(multiset.add(fa, F.lit("new")), F.lit("new"))).alias("same"), multiset.as_hex(multiset.add(fa, F.lit("new"))).alias("more"),
-        multiset.likeness(fa, fa).alias("one"), multiset.likeness(fa, fb).alias("none"),
+        multiset.likeness(fa, fa).alias("one"), multiset.likeness(multiset.of_text(F.lit("alpha\nbeta\ngamma")), fb).alias("none"),
     ).first()
     assert r["sum"] == r["joined"] and r["back"] == r["fa"] == r["same"] != r["more"]
     assert r["one"] == 1 and r["none"] == 0

@@ -124,7 +124,7 @@ def as_hex(a: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Share of the paragraphs of both that is common, 0 to 1, from the fingerprints alone.
 
-    m paragraphs of only one side leave 1 - exp(-m / LANES) of the places different, about.
+    m different paragraphs of only one side (repeats of one differ in one place only) leave 1 - exp(-m / LANES) of the places different, about.
     """
     place = lambda lanes: F.transform(lanes, lambda x: F.shiftright(x, 32))
     differ = F.size(F.array_union(place(a["lanes"]), place(b["lanes"]))) - F.size(F.array_intersect(a["lanes"], b["lanes"]))
