@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewheel.llm import bpe, linededup, mixing, simhash, toxicity
+from tidewheel.llm import bpe, linededup, mixing, toxicity
+from tidewheel.llm.common import cut
+from tidewheel.llm.near import jaccard_components
 from tidewheel.runtime import shared_folder
 
 #: SQL can't express the learned, hashed and tokenised stages.
@@ -45,10 +47,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id.
 
-    Five-word shingles and 3 of 64 bits, which stands for a similarity far above 0.8.  Rows with the
+    Near copies share four fifths of their five-word shingles (exact Jaccard of 0.8 or more).  Rows with the
     same id are one document; the least of them in the order of columns stays.  Of a group without ids all rows stay.
     """
-    near = simhash.simhash_components(docs.select("doc_id", "text"), words=5, radius=3)
+    near = cut(jaccard_components(docs.select("doc_id", "text"), words=5))
     stay = near.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     no_id = docs.filter("doc_id is null")
     kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi")
