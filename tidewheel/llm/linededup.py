@@ -12,9 +12,9 @@ case; keys shorter than ``min_chars`` code points are left alone.
 4. Confirmed lines leave the documents: all of them (``keep="none"``), or all but the first
    occurrence in the order of ids (``keep="first"``).
 
-The filter for lines seen twice is broadcast if it has at most ``max_filter_bytes``, and
-confirmed keys if they have at most ``max_keys_bytes``; both are measured.  Beyond
-that, suspected lines are found by a join on the hash, and confirmed lines by a join on the key.
+The filter for lines seen twice is broadcast in portions of at most ``max_filter_bytes`` (one segment
+at least); documents are read once for each portion.  Confirmed keys are broadcast if they have at
+most ``max_keys_bytes``, which is measured; beyond that, confirmed lines are found by a join on the key.
 
 A null or empty text is one empty line.  Null ids come after all others.  Repeated rows are
 documents of their own; of rows that tie for the first occurrence, each keeps it.  An
@@ -131,14 +131,14 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _count_suspects(batches: Iterator[pa.RecordBatch], min_chars: int, bits: dict[int, bytes], segments: int, ids: bool) -> Iterator[pa.RecordBatch]:
-    """(key, documents of this task with it, first of them) for keys that the filter may hold."""
+def _count_suspects(batches: Iterator[pa.RecordBatch], min_chars: int, bits: dict[int, bytes], segments: int, ids: bool, portion: range) -> Iterator[pa.RecordBatch]:
+    """(key, documents of this task with it, first of them) for keys that the filters of these segments may hold."""
     from xxhash import xxh64_intdigest
 
     table = {s: np.frombuffer(b, np.uint8) for s, b in bits.items()}
-    flat = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    flat = np.zeros((len(portion), SEGMENT_BITS // 8), np.uint8)
     for s, b in table.items():
-        flat[s] = b
+        flat[s - portion.start] = b
     flat = flat.reshape(-1)
     found: dict[bytes, list] = {}
 
@@ -160,12 +160,14 @@ def _count_suspects(batches: Iterator[pa.RecordBatch], min_chars: int, bits: dic
                 if ids:
                     owner += [at + r] * len(k)
             h = np.fromiter(map(xxh64_intdigest, keys), np.uint64, len(keys))
-            base = _segment(h, segments) * SEGMENT_BITS
-            hit = np.ones(len(h), bool)
-            for p in _probes(h):
+            seg = _segment(h, segments)
+            here = np.flatnonzero((seg >= portion.start) & (seg < portion.stop))
+            base = (seg[here] - portion.start) * SEGMENT_BITS
+            hit = np.ones(len(here), bool)
+            for p in _probes(h[here]):
                 p = p + base
                 hit &= (flat[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
-            for i in np.flatnonzero(hit).tolist():
+            for i in here[hit].tolist():
                 k, d = keys[i], (last if not ids or id_of[owner[i]] is None else id_of[owner[i]])
                 e = found.get(k)
                 if e is None:
@@ -206,7 +208,7 @@ def _drop(batches: Iterator[pa.RecordBatch], confirmed: dict[bytes, int], keep_f
 
 
 def _key_column(line: Column) -> Column:
-    stripped = F.regexp_replace(line, f"^[{_EDGE}]+|[{_EDGE}]+$", "")
+    stripped = F.regexp_replace(line, f"^[{_EDGE}]+|[{_EDGE}]+\\z", "")
     return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -220,20 +222,21 @@ def repeated_lines(
     packed = over_batches(text.select("text"), lambda it: _hashes(it, min_chars, segments), "seg long, once binary, twice binary")
     parts = packed.repartition("seg").sortWithinPartitions("seg")
     filters = over_batches(parts, _twice, "seg long, bits binary")
-    if segments * SEGMENT_BITS // 8 <= max_filter_bytes:
-        bits = docs.sparkSession.sparkContext.broadcast({r["seg"]: bytes(r["bits"]) for r in filters.collect()})
-        suspects = over_batches(
-            text if first else text.select("text"),
-            lambda it: _count_suspects(it, min_chars, bits.value, segments, first),
-            "key binary, n long, first long",
-        )
-    else:
-        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-        keys = F.explode(F.array_distinct(F.transform("lines", _key_column))).alias("key")
-        lines = rows.select("id", keys).filter(F.length("key") >= min_chars)
-        lines = lines.withColumn("key", F.col("key").cast("binary"))
-        lines = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("first"))
-        suspects = lines.filter("n > 1")
+    step = max(1, max_filter_bytes * 8 // SEGMENT_BITS)
+    portions = [range(a, min(a + step, segments)) for a in range(0, segments, step)]
+    if len(portions) > 1:
+        filters = cut(filters)
+    rows = text if first else text.select("text")
+    suspects = None
+    for portion in portions:
+        mine = filters.filter((F.col("seg") >= portion.start) & (F.col("seg") < portion.stop))
+        bits = docs.sparkSession.sparkContext.broadcast({r["seg"]: bytes(r["bits"]) for r in mine.collect()})
+        count = lambda it, bits=bits, portion=portion: _count_suspects(it, min_chars, bits.value, segments, first, portion)
+        found = over_batches(rows, count, "key binary, n long, first long")
+        if len(portions) > 1:  # one portion in memory at a time
+            found = cut(found.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= min_docs))
+            bits.destroy()
+        suspects = found if suspects is None else suspects.union(found)
     return suspects.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= min_docs)
 
 
