@@ -1,15 +1,18 @@
 """Multiset fingerprints, line dedup, toxicity and language ID."""
 
 import hashlib
+import math
+import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import linededup, multiset
+from tidewheel.llm import langid, linededup, multiset
 from tidewheel.llm.langid import identify
-from tidewheel.llm.toxicity import toxicity
+from tidewheel.llm.toxicity import MIXED, fit_counts, tokens, toxicity
 
 SMALL = "/root/testdata/sf0.1"
 
@@ -109,14 +112,16 @@ def test_filters_have_no_false_negatives():
     assert seen[:500].all() and seen[500:].mean() < 0.05
 
 
-def test_toxicity(spark, make, odd):
-    docs, labels = spark.read.parquet("/root/testdata/check_s/documents.parquet"), spark.read.parquet("/root/testdata/check_s/labels.parquet")
-    few = docs.filter("doc_id < 20000")
-    got = toxicity(few, labels).join(labels, "doc_id").select("doc_id", "held_out", "predicted", "toxic").collect()
+def test_toxicity(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    got = toxicity(docs, labels).join(labels, "doc_id").select("doc_id", "held_out", "predicted", "toxic").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r["held_out"]]
     hit = sum(r["predicted"] and r["toxic"] for r in held)
     assert hit >= 0.8 * sum(r["toxic"] for r in held) and hit >= 0.85 * sum(r["predicted"] for r in held)
+
+
+def test_toxicity_of_odd_rows(spark, make, odd):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 0, None), (None, 1, 1), (7, 1, 0), (9, 1, 0), (5, 0, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity(make(odd), labels).collect()
     assert len(got) == len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
@@ -124,6 +129,89 @@ def test_toxicity(spark, make, odd):
     assert toxicity(make([]), labels).count() == 0
 
 
+def plain_kneser_ney(docs, discount):
+    """docs: (class, words) -> a function from words to the evidence, by dictionaries."""
+    pairs = {y: Counter(g for c, t in docs if c == y for g in zip(["<s>", *t[:-1]], t, strict=True)) for y in (0, 1)}
+    cont = {y: Counter(w for _, w in pairs[y]) for y in (0, 1)}
+    types = len(cont[0]) + len(cont[1])
+    cut = lambda n: max(n - (0, 1.0, 1.6, 2.2)[min(n, 3)], 0)
+
+    def unigram(y, w):
+        n = {c: cont[c][w] for c in (0, 1)}
+        if sum(n.values()) <= 1 and sum(k for c in (0, 1) for (v, _), k in pairs[c].items() if v == w) <= 1:
+            n = {0: 0, 1: 0}  # left to the backoff for new words
+        classes = (n[0] > 0) + (n[1] > 0)
+        total = sum(cont[y].values())
+        free = total - sum(cut(k) for k in cont[y].values())
+        return (cut(n[y]) + free * max(0.5, classes - 0.5) / types) / total
+
+    def p(y, v, w):
+        after = {g: k for g, k in pairs[y].items() if g[0] == v}
+        total = sum(after.values())
+        if sum(k for c in (0, 1) for g, k in pairs[c].items() if g[0] == v) <= 1 and cont[0][v] + cont[1][v] <= 1 or not total:
+            return unigram(y, w)
+        left = sum(min(k, discount) for k in after.values())
+        return (max(after.get((v, w), 0) - discount, 0) + left * unigram(y, w)) / total
+
+    def evidence(t):
+        ratio = [p(1, v, w) / p(0, v, w) for v, w in zip(["<s>", *t[:-1]], t, strict=True)]
+        return sum(math.log(1 + MIXED * (r - 1)) for r in ratio) / len(t)
+
+    return evidence
+
+
+@pytest.mark.parametrize("discount", [2.0, 8.0])
+def test_evidence_is_that_of_plain_counts(spark, discount):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    say = lambda y: rnd.choices(words, [1 + (k < 6) * 8 + y * (k > 34) * 3 for k in range(40)], k=rnd.randint(1, 60))
+    docs = [(y, say(y)) for y in (0, 0, 0, 1) for _ in range(15)]
+    asked = [say(k % 2) for k in range(20)] + [["new", "words"], ["w1", "new", "w2", "w3"]]
+    hashed = lambda rows: spark.createDataFrame([(y, " ".join(t)) for y, t in rows], "y int, text string").select("y", tokens(F.col("text")).alias("t"))
+    (model,) = fit_counts(hashed(docs), (discount,))
+    want = plain_kneser_ney(docs, discount)
+    for r, t in zip(hashed([(0, t) for t in asked]).collect(), asked, strict=True):
+        got, n = model.evidence(np.array(r["t"], np.int64), np.array([0, len(t)]))
+        assert n[0] == len(t) and got[0] == pytest.approx(want(t), rel=1e-5, abs=1e-9)
+
+
+def test_ftrl_is_that_of_plain_numbers():
+    """Follow-the-regularised-leader, a weight at a time, beside the arrays."""
+    rnd = random.Random(4)
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= langid.L1:
+            return 0.0
+        sign = 1 if z[k] > 0 else -1
+        return -(z[k] - sign * langid.L1) / ((langid.BETA + math.sqrt(n[k])) / langid.ALPHA + langid.L2)
+
+    model = langid.Ftrl(3)
+    for _ in range(200):
+        at, y = sorted(rnd.sample(range(12), 4)), rnd.randrange(3)
+        x = [rnd.random() for _ in at]
+        logits = [sum(weight((i, c)) * v for i, v in zip(at, x, strict=True)) for c in range(3)]
+        e = [math.exp(v - max(logits)) for v in logits]
+        w = {(i, c): weight((i, c)) for i in at for c in range(3)}
+        for i, v in zip(at, x, strict=True):
+            for c in range(3):
+                g = (e[c] / sum(e) - (c == y)) * v
+                old = n.get((i, c), 0.0)
+                z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.ALPHA * w[i, c]
+                n[i, c] = old + g * g
+        model.learn(np.array(at), np.array(x), y)
+    assert np.allclose(model.weights(slice(0, 12)), [[weight((i, c)) for c in range(3)] for i in range(12)])
+
+
+def test_any_number_of_languages(make):
+    rows = [(k, f"word{chr(0x4E00 + k // 5)} {chr(0x4E00 + k // 5) * 6}", f"lang{k // 5}") for k in range(2500)]
+    got = identify(make(rows), max_fit_docs=1000).collect()
+    assert len({r["lang_pred"] for r in got}) > 450  # more languages than any constant, each of them learned
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 0)
+    hot = [(one, f"the same id, another text {k}", "en") for k in range(3000)] + [(100 + k, f"noch ein anderer text {k}", "de") for k in range(30)]
+    assert {r["lang_pred"] for r in identify(make(hot), max_fit_docs=50).collect()} == {"en", "de"}
+
+
 def test_language(spark, make, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

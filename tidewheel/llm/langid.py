@@ -7,7 +7,8 @@ follow-the-regularised-leader and an elastic net (L1 keeps them sparse, L2 small
 temperature is fitted on documents that training hasn't seen, which calibrates the probabilities.
 
 Training takes at most ``max_fit_docs`` documents, an equal share of each language as far as it has them (those with the
-smallest hash of the id); document frequencies take all documents of the learning folds.
+smallest hash of id and text, one at least); document frequencies take all documents of the learning folds.
+Every language there is is learned: the model has ``DIM`` weights of 4 bytes for each, training four times as much.
 Scoring reads whole texts, and nothing else.
 
 A text that is null or has no letter is ``und`` with score 0.  Rows without a language
@@ -22,17 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import crc_fold, cut, over_batches
+from tidewheel.llm.common import crc_fold, over_batches
 
 DIM, MAX_N = 1 << 15, 3
 MAX_FIT_DOCS = 3000
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
 #: Follow-the-regularised-leader: step, smoothing, L1, L2, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 2e-4, 1e-4, 4
-#: Languages at most: those with most documents.
-MAX_LANGUAGES = 400
 
 _MULT = np.uint32(0x9E3779B1)
 
@@ -151,31 +151,27 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [features(x.as_py()) for x in batch.column(0)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in got], pa.binary())],
-            names=["lang", "fold", "at", "counts"],
+            [*(batch.column(i) for i in (1, 2, 3)), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in got], pa.binary())],
+            names=["lang", "fold", "u", "at", "counts"],
         )
 
 
 def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> LanguageModel | None:
     d = docs.select(F.col("text"), F.col("lang").alias("lang"), F.col("doc_id").cast("long").alias("id"), crc_fold("doc_id", FOLDS).alias("fold"))
     d = d.filter(f"lang is not null and text is not null and id is not null and fold <> {HELD_OUT}")
-    sizes = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    d = d.withColumn("u", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30))
+    sizes = d.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("low")).collect()
     if not sizes:
         return None
     names = sorted(r["lang"] for r in sizes)
     share = max(1, max_fit_docs // len(names))
     # about `share` documents of each language, by a threshold on the hash of the id; then exactly
-    rate = {r["lang"]: min(1.0, 1.5 * share / r["count"] + 20 / r["count"]) for r in sizes}
-    u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.element_at(F.create_map(*[F.lit(x) for k in rate.items() for x in k]), F.col("lang"))
-    # rows without text columns, so that only chosen texts are gathered
-    picked = cut(d.filter(u < chance).select("id", "lang", u.alias("u")))
-    limits = {}
-    for name in names:
-        edge = picked.filter(F.col("lang") == name).orderBy("u").limit(share).agg(F.max("u").alias("u")).first()["u"]
-        limits[name] = edge if edge is not None else -1.0
-    limit = F.element_at(F.create_map(*[F.lit(x) for k in limits.items() for x in k]), F.col("lang"))
-    sample = over_batches(d.filter(u <= limit).select("text", "lang", "fold"), _vectors, "lang string, fold long, at binary, counts binary")
+    rates = [(r["lang"], max(r["low"], min(1.0, (1.5 * share + 20) / r["n"]))) for r in sizes]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double"))  # a row for each language
+    drawn = d.join(rates, "lang").filter("u <= rate")
+    sample = over_batches(drawn.select("text", "lang", "fold", "u"), _vectors, "lang string, fold long, u double, at binary, counts binary")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("u", "at", "counts"))
+    sample = sample.withColumn("nth", nth).filter(F.col("nth") <= share).select("lang", "fold", "at", "counts")
     rows = sorted((r["lang"], r["fold"], bytes(r["at"]), bytes(r["counts"])) for r in sample.collect())
     df = over_batches(d.select("text"), _frequencies, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()
     total = int(df.loc[df["at"] == -1, "df"].sum())
