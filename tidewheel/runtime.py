@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
@@ -24,8 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once per application), so that they needn't have it installed."""
+    """Send this package to the executors (once per application), so that they needn't have it installed.
+
+    Where the session has no setting of its own, Arrow batches are made smaller: whole texts are rows here.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default
+        spark.conf.set(_BATCH, "2048")
     if getattr(sc, "_tidewheel_shipped", False):
         return
     top = Path(__file__).resolve().parent
