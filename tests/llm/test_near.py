@@ -4,8 +4,9 @@ import random
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewheel.llm.near import jaccard_components
+from tidewheel.llm.near import near_components
 
 
 def plain_set(text, words=5):
@@ -48,13 +49,14 @@ def edited(rows, rnd):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_components_match_brute_jaccard(make, odd, monkeypatch, block):
-    monkeypatch.setattr(sys.modules["tidewheel.llm.near"], "BLOCK", block)
+@pytest.mark.parametrize("bounds", [{}, {"HOT": 8, "SMALL": 3, "SEGMENT_KEYS": 500}, {"CANDIDATES": 1, "FEW": 0}])
+def test_components_match_brute_jaccard(make, odd, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(sys.modules["tidewheel.llm.near"], name, value)
     rows = edited(list(odd), random.Random(3))
-    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_components(make(rows)).collect()), key=repr)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in near_components(make(rows)).collect()), key=repr)
     assert got == brute(rows)
-    assert jaccard_components(make([])).count() == 0
+    assert near_components(make([])).count() == 0
 
 
 def test_pipeline_stage_drops_edited_copies(make):
@@ -63,3 +65,15 @@ def test_pipeline_stage_drops_edited_copies(make):
     rows = edited([], random.Random(4))
     kept = {r["doc_id"] for r in dict(c.STAGES)["simhash near-dedup"](None, make(rows), "").collect()}
     assert kept == {comp for _, comp in brute(rows)}
+
+
+def test_rows_not_ids_decide(spark):
+    import corpus_pipeline as c
+
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(0, text, "a"), (1, text, "b"), (1, "something else entirely that has more than five words", "c"), (None, text, "d"), (None, "only without an id, and twice", "e"), (None, "only without an id, and twice", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _stay string").withColumns({x: F.lit(7) for x in ("id", "h", "root", "at", "nth", "row", "number", "a.b")})
+    got = dict(c.STAGES)["simhash near-dedup"](spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["_stay"]) for r in got.collect() if r["doc_id"] is not None) == [(0, "a"), (1, "c")]
+    assert [r["_stay"] for r in got.filter("doc_id is null").collect()] == ["e"]

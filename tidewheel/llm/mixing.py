@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in shuffled order (by a hash of the id), read
+Every source is a queue of its documents in shuffled order (by a hash of id and text), read
 again from the start after its end.  A document's virtual finish time is its source's
 tokens up to and with it, divided by the source's target weight.  All passes of all
 documents are ranked by finish time and the mix is what comes before the total budget.
@@ -26,8 +26,8 @@ from tidewheel.llm.common import cut
 
 #: Weights of the sources in code point order, repeated as needed.
 WEIGHTS = (3, 1, 2)
-#: Rows that one window sorts, about.
-CHUNK_ROWS = 4096
+#: Rows that one window sorts, about, if they are one source's.
+CHUNK_ROWS, MAX_DIGITS = 512, 6
 
 
 def word_count(text: str = "text") -> Column:
@@ -59,23 +59,25 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def mix(
-    docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: str = "mix"
+    docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: str = "mix", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, n_taken of every row of ``docs``.
+    """doc_id, size, source_size, target, taken, n_taken and the columns named in ``carry`` of every row of ``docs``.
 
     ``share`` of all sizes is the budget, and no source gives more than ``passes`` times its size.
     """
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-")).alias("skey"),
         word_count().alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("key"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), text).cast("binary")).alias("key"),
+        *carry,
     )
     d = cut(d)
     n = d.count()
     digits = 1
-    while digits < 5 and n > CHUNK_ROWS * 16**digits:
+    while digits < MAX_DIGITS and n > CHUNK_ROWS * 16**digits:
         digits += 1
     d = d.withColumn("chunk", F.substring("key", 1, digits))
     sums = d.groupBy("skey", "chunk").agg(F.first("source").alias("source"), F.sum("size").alias("chunk_size"))
@@ -87,7 +89,7 @@ def mix(
     heads = heads.join(t.drop("source"), "skey")
     own = W.partitionBy("skey", "chunk").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     r = d.withColumn("own", F.sum("size").over(own)).join(heads, ["skey", "chunk"])
-    r = cut(r.select("doc_id", "size", "key", "source_size", "target", "total", "rank", (F.col("ahead") + F.col("own")).alias("upto")))
+    r = cut(r.select("doc_id", "size", "key", "source_size", "target", "total", "rank", (F.col("ahead") + F.col("own")).alias("upto"), *carry))
 
     buckets = max(64, min(65536, n // 64))
 
@@ -121,13 +123,13 @@ def mix(
                 yes = yes | ((bucket(f) == last["b"]) & (place(f, k) <= end))
             taken.append(yes)
     n_taken = sum((F.coalesce(x.cast("int"), F.lit(0)) for x in taken), F.lit(0))
-    return r.select("doc_id", "size", "source_size", "target", (n_taken * F.col("size")).cast("long").alias("taken"), n_taken.alias("n_taken"))
+    return r.select("doc_id", "size", "source_size", "target", (n_taken * F.col("size")).cast("long").alias("taken"), n_taken.alias("n_taken"), *carry)
 
 
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))) AS key
+         md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of shingle sets, with SimHash as the candidate search.
+"""Near copies by exact Jaccard similarity of shingle sets, with bit-sliced SimHash as the candidate search.
 
 Texts with the same set of shingles are one class.  Two classes link if they share at least four
 fifths of their shingles (Jaccard).  Candidates share a key and have fingerprints within ``RADIUS``
@@ -8,8 +8,11 @@ bits; every candidate is confirmed on the sets, so nothing below four fifths lin
   first n - ceil(t n) + 1 of each.  The order puts shingles that are common in a sample last, which
   only serves speed.
 * Fingerprints: SimHash of the distinct shingles.  A bit differs with a chance of 0.15 to 0.19 at four fifths.
-* Large groups: members are first confirmed against a few members drawn from their buckets; after that
-  only pairs of different components are compared, bit-sliced, blocks of a bucket two by two.
+* Groups: a few keys of every class name a leader first, and classes that are confirmed against
+  it join its component.  After that only pairs of different components are compared.  A class sends no more than a
+  few candidates in another component, chosen by hash; while some had more, it goes round again with four times as many,
+  over what the components are by then.  So no group lists all its pairs, and no pair that could still join two components is left out.
+* Keys travel packed, by segment of the hash space; a key of more than ``HOT`` classes is cut into blocks that are compared two by two.
 
 Null texts count as empty; texts without words are one class.  Repeated rows give repeated rows.
 """
@@ -33,8 +36,12 @@ from tidewheel.llm.simhash import bit_planes, within
 RADIUS = 26
 #: Documents whose shingles are counted, and common shingles kept at most.
 SAMPLE, COMMON = 4096, 200_000
-#: Rounds and drawn members for a class in a round; rows of a block.
-ROUNDS, LEADERS, BLOCK = 1, 6, 1024
+#: Keys that name a leader for a class; candidates of a class in another component, at first.
+FEW, CANDIDATES = 4, 4
+#: Keys of a segment; classes of a key up to which they are compared in one place; of a bucket up to which they are compared one by one.
+SEGMENT_KEYS, HOT, SMALL = 1 << 19, 1 << 18, 12
+#: Bits of a portion of the filter of texts whose sets are needed, and portions at most (64 MB).
+FILTER_BITS, FILTERS = 1 << 20, 512
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -99,38 +106,77 @@ def _prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, t, h, fp, size, keys) of every row; t is the text's hash and h that of its set."""
+    """(id, t, h, fp, size, few, keys) of every row (id, text); t is the text's hash and h that of its set."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
+    def few(keys: np.ndarray) -> np.ndarray:
+        drawn = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return keys[np.argsort(drawn)[:FEW]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
         for batch in batches:
             sets = [shingle_set(x.as_py(), words) for x in batch.column(2)]
-            h, fp = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (_set_id, _fingerprint))
-            keys = pa.array([_prefix(s, common.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            h, fp = (pa.array(np.array([f(s) for s in sets], np.uint64).view(np.int64)) for f in (_set_id, _fingerprint))
+            keys = [_prefix(s, common.value) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(h), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), keys],
-                names=["doc_id", "t", "h", "fp", "size", "keys"],
+                [batch.column(0), batch.column(1), h, fp, pa.array([len(s) for s in sets], pa.int64()), longs(map(few, keys)), longs(keys)],
+                names=["id", "t", "h", "fp", "size", "few", "keys"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(utf8()).alias("t"), utf8().alias("text"))
-    return over_batches(rows, run, "doc_id long, t long, h long, fp long, size int, keys array<bigint>")
+    rows = docs.select("id", F.xxhash64(utf8()).alias("t"), utf8().alias("text"))
+    id_type = docs.schema["id"].dataType.simpleString()
+    return over_batches(rows, run, f"id {id_type}, t long, h long, fp long, size long, few array<bigint>, keys array<bigint>")
 
 
-def _alike_in_size(a: str, b: str) -> Column:
-    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
+def _filter(t: DataFrame) -> dict[int, np.ndarray]:
+    """A filter (16 bits for each of the longs ``t``, up to 64 MB; fuller beyond), by segment."""
+    segments = max(1, min(FILTERS, -(-t.count() * 16 // FILTER_BITS)))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            h = batch.column(1).to_numpy().view(np.uint64)
+            seg = batch.column(0).to_numpy()
+            for s in np.unique(seg).tolist():
+                bits.setdefault(s, np.zeros(FILTER_BITS, bool))[_probes(h[seg == s])] = True
+        packed = pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), packed], names=["seg", "bits"])
+
+    seg = F.pmod(F.col("t"), F.lit(segments)).alias("seg")
+    rows = over_batches(t.select(seg, "t").repartition(min(segments, 64), "seg"), build, "seg long, bits binary").collect()
+    return {"segments": segments, **{r["seg"]: np.frombuffer(r["bits"], np.uint8) for r in rows}}
+
+
+def _probes(h: np.ndarray) -> np.ndarray:
+    step = (h >> np.uint64(33)) | np.uint64(1)
+    return np.concatenate([((h >> np.uint64(9)) + np.uint64(i) * step) % np.uint64(FILTER_BITS) for i in range(4)]).astype(np.int64)
+
+
+def _may_have(filters: dict, t: np.ndarray) -> np.ndarray:
+    seg, out = t % filters["segments"], np.zeros(len(t), bool)
+    for s in np.unique(seg).tolist():
+        if s in filters:
+            mine = np.flatnonzero(seg == s)
+            at = _probes(t[mine].view(np.uint64)).reshape(4, -1)
+            out[mine] = ((filters[s][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0).all(axis=0)
+    return out
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) whose sets share four fifths of their shingles."""
-    pairs = cut(pairs)
-    need = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
-    texts = docs.select(utf8().alias("text")).withColumn("t", F.xxhash64("text"))
-    texts = texts.join(classes.join(need, "h", "left_semi").select("t", "h"), "t").dropDuplicates(["t"]).select("h", "text")
+    """The pairs (u, v) whose sets share four fifths of their shingles.
+
+    Only texts that a filter lets through are turned into sets again; nothing else of the documents moves.
+    """
+    need = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    need = cut(classes.select("h", "t").join(need, "h"))
+    filters = docs.sparkSession.sparkContext.broadcast(_filter(need.select("t")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), s], names=["h", "s"])
+            some = batch.filter(pa.array(_may_have(filters.value, batch.column(0).to_numpy())))
+            s = pa.array([shingle_set(x.as_py(), words).tobytes() for x in some.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), s], names=["t", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,82 +187,193 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                 keep.append(5 * both >= 4 * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    known = cut(over_batches(texts, sets, "h long, s binary"))
+    found = over_batches(docs.select(F.xxhash64(utf8()).alias("t"), utf8().alias("text")), sets, "t long, s binary")
+    known = cut(found.dropDuplicates(["t"]).join(need, "t").select("h", "s"))
     two = pairs.join(known.select(F.col("h").alias("u"), F.col("s").alias("a")), "u")
     two = two.join(known.select(F.col("h").alias("v"), F.col("s").alias("b")), "v")
     return over_batches(two.select("u", "v", "a", "b"), check, "u long, v long")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, h, fp, size, root) in the order of k -> pairs of different components that may be similar."""
-    held: list[list[np.ndarray]] = []
-
-    def flush() -> pa.RecordBatch:
-        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if held:
-            k, h, fp, size, root = (np.concatenate(x) for x in zip(*held, strict=True))
-            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-            found = []
-            for a, b in zip(edges, edges[1:], strict=False):
-                if b - a < 2 or (root[a:b] == root[a]).all():
-                    continue
-                f, planes = fp[a:b].view(np.uint64), bit_planes(fp[a:b].view(np.uint64))
-                for at in range(0, b - a, 256):
-                    i, j = within(f[at : at + 256], planes, b - a, RADIUS)
-                    i, j = i + at + a, j + a
-                    ok = (h[i] < h[j]) & (root[i] != root[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
-                    found.append(np.stack([h[i[ok]], h[j[ok]]], axis=1))
-            if found:
-                u, v = np.unique(np.concatenate(found), axis=0).T
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _alike_in_size(a: str, b: str) -> Column:
+    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
+
+
+def _stars(classes: DataFrame) -> DataFrame:
+    """(u, v): a class and the most similar of the leaders that its few keys name."""
+    few = classes.select(F.explode("few").alias("k"), "h", "fp", "size")
+    leader = few.groupBy("k").agg(F.min(F.struct(F.xxhash64("h").alias("draw"), "h", "fp", "size")).alias("l"), F.count("*").alias("n"))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp")))
+    star = few.join(leader.filter("n > 1"), "k").filter((F.col("h") != F.col("l.h")) & _alike_in_size("size", "l.size") & (far <= RADIUS))
+    star = star.groupBy("h").agg(F.min(F.struct(far.alias("d"), F.col("l.h").alias("l"))).alias("best"))
+    return star.select(F.least("h", "best.l").alias("u"), F.greatest("h", "best.l").alias("v")).distinct()
+
+
+# -- all pairs of different components
 
+
+def _packed(batches: Iterator[pa.RecordBatch], segments: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, fp, size, root, keys) -> (segment, rows (k, h, fp, size, root) packed)."""
+    held: list[np.ndarray] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        seg = (rows[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(segments)
+        order = np.argsort(seg, kind="stable")
+        rows, seg = rows[order], seg[order]
+        edges = [0, *(np.flatnonzero(seg[1:] != seg[:-1]) + 1).tolist(), len(seg)]
+        blobs = [rows[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(seg[edges[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["seg", "rows"])
+        held.clear()
+
+    hot_keys = np.array(sorted(hot), np.int64)
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        if not len(cols[0]):
+        ends = batch.column(4).offsets.to_numpy()
+        k = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        if not len(k):
             continue
-        new = np.flatnonzero(cols[0] != (held[-1][0][-1] if held else cols[0][0]))
-        if held and sum(len(x[0]) for x in held) >= 16 * BLOCK and len(new):  # whole buckets only
-            held.append([c[: new[0]] for c in cols])
-            yield flush()
-            held, cols = [], [c[new[0] :] for c in cols]
-        held.append(cols)
-    yield flush()
+        each = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        rows = np.stack([k, *(batch.column(i).to_numpy()[each] for i in range(4))], axis=1)
+        is_hot = np.isin(k, hot_keys)
+        held.append(rows[~is_hot])
+        for key in np.unique(k[is_hot]).tolist():  # blocks of a hot key meet two by two
+            mine, m = rows[k == key], -(-hot[key] // HOT)
+            block = ((mine[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(m)
+            for other in range(m):
+                lo, hi = np.minimum(block, other), np.maximum(block, other)
+                copy = mine.copy()
+                copy[:, 0] = (np.uint64(key % (1 << 64)) + (lo * np.uint64(m) + hi + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+                held.append(copy)
+        if sum(map(len, held)) >= 1 << 20:
+            yield from out()
+    if held:
+        yield from out()
+
+
+def _hot_keys(classes: DataFrame, total: int) -> dict[int, int]:
+    """Keys of more than HOT classes and their number, about; total / HOT of them at most."""
+    if total <= HOT:
+        return {}
+    n = classes.select(F.explode("keys").alias("k")).groupBy("k").count().filter(F.col("count") > HOT)
+    return {r["k"]: r["count"] for r in n.collect()}
+
+
+def _bucket_pairs(rows: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, bool]:
+    """Candidates (h, h) of different roots in the buckets of these rows (k, h, fp, size, root), and if some had more."""
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    k, root = rows[:, 0], rows[:, 4]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    sizes = np.diff(np.append(starts, len(k)))
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    found: list[np.ndarray] = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        a, b = rows[i], rows[j]
+        ok = (a[:, 4] != b[:, 4]) & (5 * np.minimum(a[:, 3], b[:, 3]) >= 4 * np.maximum(a[:, 3], b[:, 3]))
+        found.append(np.stack([i[ok], j[ok]], axis=1))
+
+    small = np.repeat(mixed & (sizes <= SMALL), sizes)
+    for d in range(1, SMALL):
+        i = np.flatnonzero(small[:-d] & (k[d:] == k[:-d])) if len(k) > d else np.zeros(0, np.int64)
+        i = i[np.bitwise_count((rows[i, 2] ^ rows[i + d, 2]).view(np.uint64)) <= RADIUS]
+        keep(i, i + d)
+    for a, n in zip(starts[mixed & (sizes > SMALL)].tolist(), sizes[mixed & (sizes > SMALL)].tolist(), strict=True):
+        f = rows[a : a + n, 2].view(np.uint64)
+        for block in range(0, n, 4096):
+            planes = bit_planes(f[block : block + 4096])
+            for at in range(0, min(n, block + 4096), 256):
+                i, j = within(f[at : at + 256], planes, min(4096, n - block), RADIUS)
+                i, j = i + at + a, j + block + a
+                keep(i[i < j], j[i < j])
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    if not len(pairs):
+        return np.zeros((0, 2), np.int64), False
+    # of each class's candidates in another component only some, by hash
+    u, v = rows[pairs[:, 0]], rows[pairs[:, 1]]
+    h = np.concatenate([u[:, 1], v[:, 1]])
+    other = np.concatenate([v[:, 4], u[:, 4]])
+    mate = np.concatenate([v[:, 1], u[:, 1]])
+    draw = ((h ^ mate).view(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    draw = draw ^ (draw >> np.uint64(32))
+    both = np.stack([np.minimum(h, mate), np.maximum(h, mate)], axis=1)
+    order = np.lexsort((draw, other, h))
+    h, other, mate, both = h[order], other[order], mate[order], both[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1]) | (mate[1:] != mate[:-1])])
+    h, other, both = h[new], other[new], both[new]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])])
+    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    # a pair goes if either side sends it; it is lost for now only if neither does
+    sent = np.unique(both[nth < most], axis=0)
+    return sent, len(sent) < len(np.unique(both, axis=0))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], most: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Rows (seg, rows) in the order of segments -> (u, v, more): candidates, and whether there were more of them."""
+    now, held = None, []
+
+    def out() -> pa.RecordBatch:
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in held]) if held else np.zeros((0, 5), np.int64)
+        pairs, more = _bucket_pairs(rows, most, salt) if len(rows) else (np.zeros((0, 2), np.int64), False)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), more))], names=["u", "v", "more"])
+
+    for batch in batches:
+        for seg, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if seg != now:
+                if held:
+                    yield out()
+                now, held = seg, []
+            held.append(rows.as_buffer())
+    yield out()
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5) -> DataFrame:
-    """doc_id, component_id of every row: components of the links between texts with a Jaccard similarity of 0.8 or more."""
+    """id, h, root for every row (id, text): the text's class and the component of classes
+    that are linked by a Jaccard similarity of 0.8 or more; equal roots are one component.
+    """
     rows = cut(_profiles(docs, words))
-    # equal sets have equal fp, size and keys
-    ids = rows.groupBy("h").agg(F.min("t").alias("t"), F.min("doc_id").alias("first_id"))
-    classes = cut(rows.join(ids.select("h", "t"), ["h", "t"]).dropDuplicates(["h"]).select("h", "t", "fp", "size", "keys"))
-    keyed = classes.select(F.explode("keys").alias("k"), "h", "fp", "size")
-    shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    live = cut(keyed.join(shared, "k"))
-    links = None
-    roots = live.select("h", F.col("h").alias("root")).distinct()
-    for salt in range(ROUNDS):
-        at = live.join(roots, "h").withColumn("draw", F.xxhash64("h", "k", F.lit(salt)))
-        drawn = at.groupBy("k").agg(F.min("draw").alias("draw"))
-        drawn = at.join(drawn, ["k", "draw"]).select("k", *[F.col(c).alias(f"l_{c}") for c in ("h", "fp", "size", "root")])
-        star = at.join(drawn, "k").filter((F.col("root") != F.col("l_root")) & _alike_in_size("size", "l_size"))
-        star = star.select("h", "l_h", F.bit_count(F.col("fp").bitwiseXOR(F.col("l_fp"))).alias("d")).filter(F.col("d") <= RADIUS).distinct()
-        star = star.withColumn("i", F.row_number().over(W.partitionBy("h").orderBy("d", "l_h"))).filter(F.col("i") <= LEADERS)
-        star = star.select(F.least("h", "l_h").alias("u"), F.greatest("h", "l_h").alias("v")).distinct()
-        more = cut(_confirmed(star, classes, docs, words))
-        links = more if links is None else links.union(more)
-        found = connected_components(links).withColumnRenamed("node", "h")
-        roots = cut(live.select("h").distinct().join(found, "h", "left").select("h", F.coalesce("root", "h").alias("root")))
-    # what is left: every pair of different components that shares a key
-    at = live.join(roots, "h")
-    mixed = at.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k")
-    at = at.join(mixed, "k", "left_semi").withColumn("m", F.ceil(F.col("n") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("h", "k"), F.col("m")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("o")
-    two = at.select("k", "h", "fp", "size", "root", "b", other)
-    two = two.select(F.xxhash64("k", F.least("b", "o"), F.greatest("b", "o")).alias("k"), "h", "fp", "size", "root")
-    rest = over_batches(two.repartition("k").sortWithinPartitions("k"), _pairs, "u long, v long").distinct()
-    links = links.union(cut(_confirmed(rest, classes, docs, words)))
-    found = connected_components(links).withColumnRenamed("node", "h")
-    rooted = ids.join(found, "h", "left").select("h", "first_id", F.coalesce("root", "h").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("h", "component_id")
-    return rows.select("doc_id", "h").join(named, "h").select("doc_id", "component_id")
+    one = rows.groupBy("h").agg(*[F.first(c).alias(c) for c in ("fp", "size", "few", "keys")], F.min("t").alias("t"))
+    classes = cut(one)
+    links = cut(_confirmed(cut(_stars(classes)), classes, docs, words))
+    total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot, segments = _hot_keys(classes, total), max(1, -(-total // SEGMENT_KEYS))
+    most, salt = CANDIDATES, 0
+    while True:
+        roots = connected_components(links).withColumnRenamed("node", "h")
+        rooted = classes.join(roots, "h", "left").select("h", "fp", "size", F.coalesce("root", "h").alias("root"), "keys")
+        packed = over_batches(rooted, lambda it: _packed(it, segments, hot), "seg long, rows binary")
+        parts = packed.repartition(segments, "seg").sortWithinPartitions("seg")
+        found = over_batches(parts, lambda it, most=most, salt=salt: _pairs(it, most, salt), "u long, v long, more boolean")
+        found = cut(found.groupBy("u", "v").agg(F.max("more").alias("more")))
+        if found.isEmpty():
+            break
+        links = cut(links.union(_confirmed(found.select("u", "v"), classes, docs, words)))
+        if found.filter("more").isEmpty():
+            break
+        most, salt = 4 * most, salt + 1
+    roots = connected_components(links).withColumnRenamed("node", "h")
+    return rows.select("id", "h").join(roots, "h", "left").select("id", "h", F.coalesce("root", "h").alias("root"))
+
+
+def row_hashes(docs: DataFrame) -> Column:
+    """A struct of two hashes of a row's values; equal for equal rows."""
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = [v.isNull() for v in values]  # hashes skip nulls
+    return F.struct(F.xxhash64(*values, *nulls).alias("a"), F.xxhash64(F.lit("b"), *nulls, *values).alias("b"))
+
+
+def near_components(docs: DataFrame, *, words: int = 5) -> DataFrame:
+    """doc_id, component_id (the smallest id of the component) of every row of ``docs``."""
+    found = jaccard_components(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), words=words)
+    smallest = found.groupBy("root").agg(F.min("id").alias("component_id"))
+    return found.join(smallest, "root").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest id (null last), of equal ids the one with the smallest hash of its values."""
+    own = docs.select(F.struct("*").alias("row"), row_hashes(docs).alias("at"), F.col("doc_id").cast("long").alias("number"), "text")
+    ids = own.select(F.struct(F.col("number").isNull().alias("none"), "number", "at").alias("id"), "text")
+    found = jaccard_components(ids, words=words)
+    stay = found.groupBy("root").agg(F.min("id").alias("id")).select("id.at")
+    kept = own.select("row", "at").join(stay, "at", "left_semi")
+    # equal rows are the same but for their place
+    nth = F.row_number().over(W.partitionBy("at").orderBy("at"))
+    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")
