@@ -12,11 +12,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidewheel.llm import bpe, linededup, mixing, toxicity
-from tidewheel.llm.common import cut
-from tidewheel.llm.near import jaccard_components
+from tidewheel.llm import bpe, linededup, mixing, near, toxicity
 from tidewheel.runtime import shared_folder
 
 #: SQL can't express the learned, hashed and tokenised stages.
@@ -45,32 +42,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id.
+    """One row of each group of near copies stays, that with the smallest id, whether the others have ids or not.
 
-    Near copies share four fifths of their five-word shingles (exact Jaccard of 0.8 or more).  Rows with the
-    same id are one document; the least of them in the order of columns stays.  Of a group without ids all rows stay.
+    Near copies share four fifths of their five-word shingles (exact Jaccard of 0.8 or more).
     """
-    near = cut(jaccard_components(docs.select("doc_id", "text"), words=5))
-    stay = near.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    no_id = docs.filter("doc_id is null")
-    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left_semi")
-    if near.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        return kept.unionByName(no_id)
-    first = W.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
-    kept = kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-    return kept.unionByName(no_id)
+    return near.drop_near_copies(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs.select("doc_id", "text", "source")).filter("n_taken > 0")
-    same = ["_id", "_size"]
-    mixed = mixed.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("size").alias("_size"), F.col("n_taken").alias("_n"))
-    mixed = mixed.withColumn("_k", F.row_number().over(W.partitionBy(*same).orderBy(F.desc("_n"))))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_size": mixing.word_count()})
-    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(*same).orderBy("source", "text")))
-    taken = rows.join(mixed, [*same, "_k"]).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return taken.select(docs.columns)
+    """Each row as often as the mix takes it."""
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
+    taken = mixing.mix(rows, carry=("row",)).filter("n_taken > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n_taken")))).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
