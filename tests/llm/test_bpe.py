@@ -38,6 +38,41 @@ def test_any_text_equals_library(codec):
         assert decoded == codec.decode(ids) == codec.full.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text_leaf", [1, 2, 7, 40])
+def test_any_cut_equals_library(codec, text_leaf):
+    rnd = random.Random(9 + text_leaf)
+    pieces = ["abc", "r", "e", "'", "'re", "''s", "'l", "l", "don't", " ", "  ", "\n", "12", "3", "!", "?!", "-", "Ä", "x" * 30, "\t"]
+    odd = [*pieces, "Σ", "İ", "\x1c", "\x85", "\xa0", "½", "ʰ", "你好", "😀", "\u0301", "ﬁ", "<|endoftext|>"]
+    small = BpeCodec.__new__(BpeCodec)
+    small.__dict__ = codec.__dict__ | {"text_leaf": text_leaf, "joins": {"text": 0, "word": 0}}
+    for k in range(400):
+        text = "".join(rnd.choice(pieces if k % 2 else odd) for _ in range(rnd.randint(0, 60)))
+        assert small.encode(text) == library(codec, text), text
+    assert small.joins["text"] > 400
+
+
+def test_documents_go_through_the_tree(spark):
+    with open(PATH) as f:
+        codec = BpeCodec(f.read())
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for text in texts:
+        assert codec.encode(text) == library(codec, text)
+    assert codec.joins["text"] >= sum(len(t) // 1024 for t in texts) > 1000
+    assert codec.encode("ab" * 5000) == library(codec, "ab" * 5000) and codec.joins["word"] > 10
+
+
+def test_memory_is_bounded_by_bytes(codec, monkeypatch):
+    from tidewheel.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    small = BpeCodec.__new__(BpeCodec)
+    small.__dict__ = codec.__dict__ | {"memo": {}, "memo_bytes": 0}
+    for k in range(50):
+        text = " ".join(f"{chr(97 + k % 26)}{chr(97 + i % 26)}{'z' * (i % 90)}" for i in range(40))
+        assert small.encode(text) == library(codec, text)
+    assert 0 < len(small.memo) < 200 and all(len(w) <= bpe.MEMO_WORD for w in small.memo)
+
+
 def test_operator(make, odd, codec):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     got = sorted(bpe_encode(make(odd), PATH, with_ids=True).collect(), key=repr)

@@ -1,11 +1,16 @@
-"""Byte-pair encoding and decoding, with tree concatenation for long unsplit text.
+"""Byte-pair encoding and decoding by tree concatenation.
 
 ``BpeCodec`` gives the ids that the tokenizers library gives for a BPE vocabulary with
 word ends (no special tokens added), and decodes as that library does where a
-vocabulary has no decoder.  A text is normalised and split into words as the
-vocabulary says; words are encoded once and remembered.
+vocabulary has no decoder.
 
-A word longer than ``leaf`` bytes isn't given to the merge loop whole.  It is cut into
+A text longer than ``text_leaf`` characters isn't encoded whole.  It is cut in halves, and these again, wherever the
+cuts fall; the leaves are encoded in one batch, and neighbours are joined up the tree: what lies around a join is
+encoded again, over a window that doubles until its first word is the left side's and its last
+word the right side's.  Splitting reads a text from left to right and sees at most three characters
+from where a word starts, so from a place where both sides agree that a word starts, and that is far enough from the cut, they agree on all that follows.
+
+A word longer than ``leaf`` bytes isn't given to the merge loop whole either.  It is cut into
 leaves that are encoded in parallel, and pairs of neighbours are joined up a tree: the
 tokens around a join are encoded again, over a window that doubles until its first
 token is the left side's and its last token the right side's.  A sequence of BPE tokens
@@ -13,6 +18,8 @@ is the encoding of its text if and only if each two neighbours are the encoding
 theirs; both sides and the window have that property and they share a token at each
 end, so the joined sequence is exact.
 
+Words are remembered, up to ``MEMO_BYTES`` in each Python worker; long ones aren't.
+
 Null and empty texts have no tokens.  Repeated rows give repeated rows; only ``doc_id``
 and ``text`` are read, so other columns may have any name.
 """
@@ -23,7 +30,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +39,15 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import over_batches
 
-#: Longest run of bytes that one merge loop gets.
-LEAF_BYTES = 2048
-#: Words remembered by each Python worker.
-MEMO_WORDS = 400_000
+#: Longest run of bytes that one merge loop gets, longest text that is encoded whole.
+LEAF_BYTES, TEXT_LEAF = 256, 512
+#: Bytes of remembered words in each Python worker, about; longest word remembered.
+MEMO_BYTES, MEMO_WORD = 128 << 20, 64
+#: Characters from the start of a word that splitting looks at, and words on each side of a window at first.
+LOOK, WINDOW = 3, 4
+
+#: A word of a text: itself, number of ids, ids in decimal, tokens.
+Piece = tuple[str, int, str, str]
 
 #: Characters on which normalisation is only lower-casing: printable ASCII, white space,
 #: Latin letters without U+0130, some punctuation.
@@ -56,12 +68,13 @@ def _byte_letters() -> list[str]:
 
 
 class BpeCodec:
-    def __init__(self, vocabulary: str, leaf: int = LEAF_BYTES):
+    def __init__(self, vocabulary: str, leaf: int = LEAF_BYTES, text_leaf: int = TEXT_LEAF):
         """vocabulary: the JSON text of a tokenizer file."""
         from tokenizers import Tokenizer
 
         spec = json.loads(vocabulary)
-        self.leaf = leaf
+        self.leaf, self.text_leaf = leaf, text_leaf
+        self.joins = {"text": 0, "word": 0}  # done so far
         self.full = Tokenizer.from_str(vocabulary)
         bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
         self.end = Tokenizer.from_str(json.dumps(bare))
@@ -75,8 +88,8 @@ class BpeCodec:
         letter, number = _class("L"), _class("N")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\\s{letter}{number}]+").findall
         self.letters = _byte_letters()
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.byte_memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, Piece] = {}
+        self.memo_bytes = 0
 
     # -- words
 
@@ -119,7 +132,8 @@ class BpeCodec:
 
     def _join(self, word: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """The encoding of word[a:b] from those of word[a:m] and word[m:b]."""
-        is_end, k = b == len(word), 4
+        is_end, k = b == len(word), WINDOW
+        self.joins["word"] += 1
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
             start = m - sum(self._width(x, False) for x in left[i:])
@@ -132,45 +146,95 @@ class BpeCodec:
                 return left[:i] + window + right[j:]
             k *= 2
 
-    def _remember(self, words: list[str]) -> None:
-        """Fill the memo for plain words that aren't in it."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = list(dict.fromkeys(words))
+    def _encoded(self, words: list[str]) -> list[Piece]:
+        """The pieces of words of a text."""
+        memo = self.memo
+        try:
+            return [memo[w] for w in words]
+        except KeyError:
+            pass
+        if self.memo_bytes > MEMO_BYTES:
+            memo.clear()
+            self.memo_bytes = 0
+        new = [w for w in dict.fromkeys(words) if w not in memo]
         letters = self.letters
-        coded = [w if w.isascii() and "\x7f" not in w else "".join([letters[x] for x in w.encode()]) for w in new]
+        coded = [w if w.isascii() and w.isprintable() else "".join([letters[x] for x in w.encode()]) for w in new]
+        long = {}
         for w, ids in zip(new, self._encode_words(coded), strict=True):
-            self.memo[w] = self._strings(ids)
-
-    def _strings(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
+            piece = (w, len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
+            if len(w) > MEMO_WORD:
+                long[w] = piece
+            else:
+                memo[w] = piece
+                self.memo_bytes += 400 + len(w) + len(piece[2]) + len(piece[3])
+        return [long[w] if w in long else memo[w] for w in words]
 
     # -- texts
 
-    def _pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids, tokens) for each word of a text without special tokens."""
+    def _split(self, text: str) -> list[str]:
+        """The words of a normalised text that isn't plain."""
+        return [text[a:b] for _, (a, b) in self.full.pre_tokenizer.pre_tokenize_str(text) if a < b]
+
+    def _pieces(self, text: str) -> list[Piece]:
+        """The pieces of a text without special tokens, by tree concatenation."""
         if _PLAIN.fullmatch(text):
-            words = self.words(text.lower())
-            memo = self.memo
-            if missing := [w for w in words if w not in memo]:
-                self._remember(missing + words if len(memo) > MEMO_WORDS else missing)
-            return [self.memo[w] for w in words]
-        split = self.full.pre_tokenizer.pre_tokenize_str(self.full.normalizer.normalize_str(text))
-        new = list(dict.fromkeys(w for w, _ in split if w))
-        coded = dict(zip(new, map(self._strings, self._encode_words(new)), strict=True))
-        return [coded[w] for w, _ in split if w]
+            text, split = text.lower(), self.words
+        else:
+            text, split = self.full.normalizer.normalize_str(text), self._split
+        n = len(text)
+        parts = 1 << (max(0, n - 1) // self.text_leaf).bit_length()  # halves of halves
+        cuts = sorted({n * k // parts for k in range(parts + 1)})
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        words = [split(text[a:b]) for a, b in spans]
+        each = iter(self._encoded([w for leaf in words for w in leaf]))
+        nodes = [[next(each) for _ in leaf] for leaf in words]
+        while len(nodes) > 1:
+            joined, at = [], []
+            for k in range(0, len(nodes) - 1, 2):
+                (a, m), (_, b) = spans[k], spans[k + 1]
+                joined.append(self._join_texts(text, split, a, m, b, nodes[k], nodes[k + 1]))
+                at.append((a, b))
+            if len(nodes) % 2:
+                joined.append(nodes[-1])
+                at.append(spans[-1])
+            nodes, spans = joined, at
+        return nodes[0] if nodes else []
+
+    def _join_texts(self, text: str, split: Callable[[str], list[str]], a: int, m: int, b: int, left: list[Piece], right: list[Piece]) -> list[Piece]:
+        """The pieces of text[a:b] from those of text[a:m] and text[m:b]."""
+        self.joins["text"] += 1
+        k = WINDOW
+        while True:
+            i, j = max(0, len(left) - k), min(len(right), k)
+            start, stop, last = m, m, b
+            for piece in reversed(left[i:]):  # between words there is only white space
+                start = text.rindex(piece[0], a, start)
+            for piece in right[:j]:
+                last = text.index(piece[0], stop, b)
+                stop = last + len(piece[0])
+            if i == 0:
+                start = a
+            if j == len(right):
+                stop = b
+            window = self._encoded(split(text[start:stop]))
+            agree_left = i == 0 or (m - start >= LOOK and bool(window) and window[0] == left[i])
+            if agree_left and j == len(right):
+                return left[:i] + window
+            if agree_left and stop - last >= LOOK and len(window) > 1 and window[-1] == right[j - 1] and text.rindex(window[-1][0], start, stop) == last:
+                return left[:i] + window + right[j:]
+            k *= 2
 
     def encode_strings(self, text: str) -> tuple[int, str, str]:
         """Number of ids, ids in decimal, decoded text, of a whole text."""
         if self.at_special and any(s in text for s in self.special):
             got = []
             for part in self.at_special.split(text):
-                got += [(1, str(self.special[part]), part)] if part in self.special else self._pieces(part)
+                got += [(part, 1, str(self.special[part]), part)] if part in self.special else self._pieces(part)
         else:
             got = self._pieces(text)
         if not got:
             return 0, "", ""
-        n, ids, decoded = zip(*got, strict=True)
+        _, n, ids, decoded = zip(*got, strict=True)
         return sum(n), " ".join(ids), " ".join(decoded)
 
     def encode(self, text: str) -> list[int]:
