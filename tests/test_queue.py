@@ -65,13 +65,24 @@ def _tree(spark):
     other_shard = value(K.shard(q, F.lit(other), 64))
     base = N.base_name(j, F.lit(2), F.lit(1), F.lit(3))
     receipt = f"receipts/{1:016x}/{shard:04x}/" + value(N.receipt_name(q, F.lit(1), F.lit(shard), base, F.lit("ee" * 16)))
-    record = bytes(value(B.encode_receipt(job_id=j, envelope_digest=F.lit("00" * 32), final_attempt=F.lit(1), token=F.lit("ee" * 16), bucket_start_ns=F.lit(0), payload_length=F.lit(5))))
+    record = bytes(value(B.encode_receipt(job_id=j, envelope_digest=F.lit("00" * 32), final_attempt=F.lit(1), token=F.lit("ee" * 16), bucket_start_ns=F.lit(CONFIG.terminal_bucket_width_ns), payload_length=F.lit(5))))
+    late = receipt.replace("receipts/" + "0" * 15 + "1", "receipts/" + "0" * 15 + "2")
+    boot, deadline = "01234567-89ab-cdef-0123-456789abcdef", 95 * 10**9
+    lease = lambda bucket: value(N.leased_name(q, F.lit(boot), F.lit(bucket), F.lit(shard), base, F.lit(deadline), F.lit(2), F.lit("ee" * 16)))
+    delayed = value(N.delayed_name(q, F.lit(1), F.lit(shard), base, F.lit(10**9)))
     wrong = (shard + 1) % 64
     return [
         (at(), data, None),
         (receipt, data, None),
         (receipt.replace("receipts/", "receipts/", 1), record, None),
         (receipt, record[:-1] + b"\0", "receipt_verification_failed"),
+        (late, record, "receipt_verification_failed"),
+        (receipt.replace(f"/{shard:04x}/", f"/{wrong:04x}/"), record, "receipt_verification_failed"),
+        (receipt, data[:-1] + b"O", "receipt_verification_failed"),
+        (f"ready/{shard:04x}/" + lease(9), data, None),
+        (f"leased/{boot}/{9:016x}/{shard:04x}/" + lease(9), data, None),
+        (f"ready/{shard:04x}/" + lease(8), data, "name_tag_mismatch"),
+        (f"ready/{shard:04x}/" + delayed, data, "filename_parse_failed"),
         ("ready/readme", data, "unexpected_entry"),
         (f"ready/{shard:04x}/nonsense.sqj", data, "filename_parse_failed"),
         (at(), b"", "zero_length_publication_residue"),

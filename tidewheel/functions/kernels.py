@@ -102,7 +102,7 @@ def hex_field(x: Column, digits: int) -> Column:
 
 
 def is_hex(x: Column, digits: int) -> Column:
-    return x.rlike(f"^[0-9a-f]{{{digits}}}$")
+    return x.rlike(f"^[0-9a-f]{{{digits}}}\\z")
 
 
 def from_hex(x: Column, digits: int) -> Column:
@@ -207,7 +207,7 @@ def retry_deadline(floor: Column, delay: Column) -> Column:
 
 def boot_hex(dashed: Column) -> Column:
     """32 hex digits of a dashed boot id; null for another form."""
-    ok = dashed.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+    ok = dashed.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z")
     return F.when(ok, F.translate(dashed, "-", ""))
 
 
@@ -237,7 +237,7 @@ def escaped(name: Column) -> Column:
 
 
 def metadata_key_ok(key: Column) -> Column:
-    return F.coalesce(key.rlike("^[a-z0-9][a-z0-9._-]{0,63}$"), F.lit(False))
+    return F.coalesce(key.rlike("^[a-z0-9][a-z0-9._-]{0,63}\\z"), F.lit(False))
 
 
 def metadata_ok(metadata: Column) -> Column:
@@ -246,4 +246,4 @@ def metadata_ok(metadata: Column) -> Column:
 
 
 def content_type_ok(content_type: Column) -> Column:
-    return F.coalesce(content_type.rlike(r"^[\x20-\x7e]{1,255}$"), F.lit(False))
+    return F.coalesce(content_type.rlike(r"^[\x20-\x7e]{1,255}\z"), F.lit(False))

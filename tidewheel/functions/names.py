@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.kernels import boot_dashed, boot_hex, hex_field, name_tag, u64
+from tidewheel.functions.kernels import boot_dashed, boot_hex, bucket_floor, hex_field, name_tag, u64
 
-_COMMON = "([0-9a-f]{32})\\.g([0-9a-f]{16})\\.a([0-9a-f]{8})\\.m([0-9a-f]{8})"
-_FIELDS = ("job_id", "generation", "attempt", "maximum_attempts")
-#: kind -> (pattern, fields)
+_COMMON = "[0-9a-f]{32}\\.g[0-9a-f]{16}\\.a[0-9a-f]{8}\\.m[0-9a-f]{8}"
+_TAG = "\\.k[0-9a-f]{16}\\."
+# The grammar of each kind of name.
 GRAMMARS = {
-    "ready": (f"^{_COMMON}\\.k([0-9a-f]{{16}})\\.sqj$", (*_FIELDS, "tag")),
-    "leased": (
-        f"^{_COMMON}\\.o([0-9a-f]{{32}})\\.b([0-9a-f]{{16}})\\.w([0-9a-f]{{16}})\\.t([0-9a-f]{{32}})\\.k([0-9a-f]{{16}})\\.sqj$",
-        (*_FIELDS, "boot_id", "boottime_deadline_ns", "wall_deadline_ns", "token", "tag"),
-    ),
-    "delayed": (f"^{_COMMON}\\.d([0-9a-f]{{16}})\\.k([0-9a-f]{{16}})\\.sqj$", (*_FIELDS, "not_before_ns", "tag")),
-    "dead": (f"^{_COMMON}\\.x([0-9a-f]{{4}})\\.k([0-9a-f]{{16}})\\.sqj$", (*_FIELDS, "reason", "tag")),
-    "receipt": (f"^{_COMMON}\\.t([0-9a-f]{{32}})\\.k([0-9a-f]{{16}})\\.rct$", (*_FIELDS, "token", "tag")),
-    "temp": ("^([0-9a-f]{16})\\.([0-9a-f]{32})\\.tmp$", ("created_boottime_ns", "random")),
-    "quarantine": ("^q([0-9a-f]{32})\\.x([0-9a-f]{4})\\.raw$", ("quarantine_id", "reason")),
+    "ready": f"^{_COMMON}{_TAG}sqj\\z",
+    "leased": f"^{_COMMON}\\.o[0-9a-f]{{32}}\\.b[0-9a-f]{{16}}\\.w[0-9a-f]{{16}}\\.t[0-9a-f]{{32}}{_TAG}sqj\\z",
+    "delayed": f"^{_COMMON}\\.d[0-9a-f]{{16}}{_TAG}sqj\\z",
+    "dead": f"^{_COMMON}\\.x[0-9a-f]{{4}}{_TAG}sqj\\z",
+    "receipt": f"^{_COMMON}\\.t[0-9a-f]{{32}}{_TAG}rct\\z",
+    "temp": "^[0-9a-f]{16}\\.[0-9a-f]{32}\\.tmp\\z",
+    "quarantine": "^q[0-9a-f]{32}\\.x[0-9a-f]{4}\\.raw\\z",
 }
+_FIRST = ("job_id", "generation", "attempt", "maximum_attempts")
+#: What stands between the dots, in order; all but the first part (and a temporary name's second) have a letter before.
+PARTS = {
+    "ready": (*_FIRST, "tag"),
+    "leased": (*_FIRST, "boot_id", "boottime_deadline_ns", "wall_deadline_ns", "token", "tag"),
+    "delayed": (*_FIRST, "not_before_ns", "tag"),
+    "dead": (*_FIRST, "reason", "tag"),
+    "receipt": (*_FIRST, "token", "tag"),
+    "temp": ("created_boottime_ns", "random"),
+    "quarantine": ("quarantine_id", "reason"),
+}
+FIELDS = (*_FIRST, "boot_id", "boottime_deadline_ns", "wall_deadline_ns", "not_before_ns", "token", "reason", "tag", "created_boottime_ns", "random", "quarantine_id")
 _TEXT = {"job_id", "boot_id", "token", "tag", "random", "quarantine_id"}
 _LONG = {"attempt", "maximum_attempts", "reason"}
 
@@ -78,35 +87,58 @@ def quarantine_name(quarantine_id: Column, reason: Column) -> Column:
 
 
 def kind_of(name: Column) -> Column:
-    """Which grammar a name follows; null for none."""
+    """Which grammar a name follows; null for none.
+
+    The number of parts and one letter say which it can be, so that one pattern is tried on a name.
+    """
+    parts = F.split(name, "\\.")
+    n, letter = F.size(parts), F.substring(F.get(parts, F.lit(4)), 1, 1)
+    last = F.try_element_at(parts, F.lit(-1))
+    may_be = {
+        "ready": n == 6, "leased": n == 10, "delayed": (n == 7) & (letter == "d"), "dead": (n == 7) & (letter == "x"),
+        "receipt": (n == 7) & (letter == "t"), "temp": (n == 3) & (last == "tmp"), "quarantine": (n == 3) & (last == "raw"),
+    }
     c = F.lit(None).cast("string")
-    for kind, (pattern, _) in GRAMMARS.items():
-        c = F.when(name.rlike(pattern), F.lit(kind)).otherwise(c)
+    for kind, can in may_be.items():
+        c = F.when(can, F.when(name.rlike(GRAMMARS[kind]), F.lit(kind))).otherwise(c)
     return c
 
 
 def field(name: Column, kind: Column, wanted: str) -> Column:
     """A field of a name of a known kind; null where there is none."""
-    c = F.lit(None).cast("string")
-    for k, (pattern, fields) in GRAMMARS.items():
+    parts, c = F.split(name, "\\."), F.lit(None).cast("string")
+    for k, fields in PARTS.items():
         if wanted in fields:
-            c = F.when(kind == k, F.regexp_extract(name, pattern, fields.index(wanted) + 1)).otherwise(c)
+            at = fields.index(wanted)
+            bare = k == "temp" or at == 0 and k != "quarantine"
+            part = F.get(parts, F.lit(at))
+            c = F.when(kind == k, part if bare else F.substring(part, 2, 64)).otherwise(c)
     if wanted in _TEXT:
         return c
     value = u64(F.conv(c, 16, 10))
     return value.cast("long") if wanted in _LONG else value
 
 
-def with_parsed(df: DataFrame, name: str = "name", bucket: str | None = None, shard_hex: str | None = None, queue_id: str | None = None) -> DataFrame:
-    """``df`` with kind, the fields of the name and, given the names of directory columns and the queue, whether the tag is right (tag_ok)."""
-    wanted = ("job_id", "generation", "attempt", "maximum_attempts", "boot_id", "boottime_deadline_ns", "wall_deadline_ns", "not_before_ns", "token", "reason", "tag")
+def lease_bucket(boottime_deadline: Column, width_ns: int) -> Column:
+    return bucket_floor(boottime_deadline, F.lit(width_ns))
+
+
+def with_parsed(
+    df: DataFrame, name: str = "name", bucket: str | None = None, shard_hex: str | None = None, queue_id: str | None = None, lease_width_ns: int = 10_000_000_000
+) -> DataFrame:
+    """``df`` with kind, the fields of the name and, given the names of directory columns and the queue, whether the tag is right (tag_ok).
+
+    A lease's tag stands for the bucket of its deadline: leases that lie with the ready objects have no bucket directory.
+    """
     df = df.withColumn("kind", kind_of(F.col(name)))
-    df = df.withColumns({w: field(F.col(name), F.col("kind"), w) for w in wanted})
+    df = df.withColumns({w: field(F.col(name), F.col("kind"), w) for w in FIELDS})
     if queue_id is None:
         return df
-    base = F.regexp_extract(name, "^(.*)\\.k[0-9a-f]{16}\\.(sqj|rct)$", 1)
+    base = F.regexp_extract(name, "^(.*)\\.k[0-9a-f]{16}\\.(sqj|rct)\\z", 1)
     kind, at = F.col("kind"), F.coalesce(F.col(bucket), F.lit("-"))
-    home = F.when(kind == "ready", F.lit("ready/-/-")).when(kind == "leased", F.concat(F.lit("leased/"), boot_dashed(F.col("boot_id")), F.lit("/"), at)).when(
+    of_deadline = bucket_dir(lease_bucket(F.col("boottime_deadline_ns"), lease_width_ns))
+    lease = F.concat(F.lit("leased/"), boot_dashed(F.col("boot_id")), F.lit("/"), F.coalesce(F.col(bucket), of_deadline))
+    home = F.when(kind == "ready", F.lit("ready/-/-")).when(kind == "leased", lease).when(
         kind == "receipt", F.concat(F.lit("receipts/-/"), at)
     ).otherwise(F.concat(kind, F.lit("/-/"), at))
     return df.withColumn("tag_ok", name_tag(F.lit(queue_id), F.concat(home, F.lit("/"), F.col(shard_hex), F.lit("/"), base)) == F.col("tag"))

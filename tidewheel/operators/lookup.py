@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import kernels as K
-from tidewheel.schema import TICKET, QueueConfig
+from tidewheel.schema import QueueConfig
 
 
 def inspect(objects: DataFrame, job_id: str, spark: SparkSession, config: QueueConfig) -> DataFrame:
@@ -15,6 +15,17 @@ def inspect(objects: DataFrame, job_id: str, spark: SparkSession, config: QueueC
     return objects.filter((F.col("shard") == row["s"]) & (F.col("job_id") == job_id))
 
 
+def inspect_many(objects: DataFrame, ids: DataFrame, config: QueueConfig) -> DataFrame:
+    """All states of every job named in ``ids`` (job_id), found or not: a join on shard and id, so that buckets on the shard prune."""
+    asked = ids.select("job_id").distinct().withColumn("shard", K.shard(F.lit(config.queue_id), F.col("job_id"), config.shard_count))
+    return asked.join(objects, ["shard", "job_id"], "left")
+
+
+def find_quarantined(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """Files in the quarantine with these quarantine ids."""
+    return files.filter(F.col("kind") == "quarantine").join(ids.select("quarantine_id").distinct(), "quarantine_id", "left_semi")
+
+
 def duplicate_ack(acks: DataFrame, receipts: DataFrame, floor_ns: int, config: QueueConfig) -> DataFrame:
     """already_acked where a receipt of the same identity lies in the probed buckets, else lease_lost."""
     now = floor_ns // config.terminal_bucket_width_ns
@@ -24,14 +35,6 @@ def duplicate_ack(acks: DataFrame, receipts: DataFrame, floor_ns: int, config: Q
     return out.withColumn("outcome", F.when(F.col("_found"), "already_acked").otherwise("lease_lost")).drop("_found")
 
 
-def parse_tickets(tickets: DataFrame, column: str = "ticket") -> DataFrame:
-    """Fields of ticket JSON and ``valid``; malformed text gives null fields."""
-    t = tickets.withColumn("t", F.from_json(column, TICKET))
-    i = F.col("t.source_identity")
-    ok = (F.col("t.version") == 2) & K.is_hex(F.col("t.queue_id"), 32) & K.is_hex(i["job_id"], 32) & (i["maximum_attempts"] > 0) & (i["attempt"] <= i["maximum_attempts"])
-    return tickets.withColumn("t", F.from_json(column, TICKET)).withColumn("valid", F.coalesce(ok, F.lit(False))).select(*tickets.columns, "t.*", "valid")
-
-
 def resolve(tickets: DataFrame, objects: DataFrame) -> DataFrame:
     """Which of source and destination is there: tickets have source, destination paths and the identity they expect.
 
@@ -67,10 +70,15 @@ def differential(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.withColumn("mismatch", what).filter("mismatch is not null")
 
 
-def crash_gates(oplog: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """job_id, gate: committed jobs that are gone (lost), acknowledged jobs that are still active (acked_active)."""
+def crash_gates(oplog: DataFrame, snapshot: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """job_id, gate: committed jobs that are gone (lost), acknowledged jobs that are still active (acked_active)
+    or were ``delivered`` to a probe after the crash (acked_delivered).  Jobs without a log line are no violation.
+    """
     committed = oplog.filter("op = 'enqueue'").select("job_id").distinct()
     acked = oplog.filter("op = 'ack'").select("job_id").distinct()
     lost = committed.join(snapshot, "job_id", "left_anti").select("job_id", F.lit("lost").alias("gate"))
     active = snapshot.filter(F.col("state").isin("ready", "leased", "delayed"))
-    return lost.union(active.join(acked, "job_id", "left_semi").select("job_id", F.lit("acked_active").alias("gate")))
+    found = lost.union(active.join(acked, "job_id", "left_semi").select("job_id", F.lit("acked_active").alias("gate")))
+    if delivered is None:
+        return found
+    return found.union(delivered.select("job_id").distinct().join(acked, "job_id", "left_semi").select("job_id", F.lit("acked_delivered").alias("gate")))

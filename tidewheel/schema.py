@@ -79,6 +79,9 @@ FINDINGS = (
     ("payload_read_failed", "error"),
     ("payload_digest_mismatch", "error"),
 )
+TICKET_SCHEMA, TICKET_VERSION = f"{METRIC_PREFIX}-transition-ticket", 2
+TICKET_OPERATIONS = ("claim", "renew", "acknowledge", "retry_now", "retry_later", "bury")
+TICKET_PHASES = ("linearized", "destination_directory_durable", "source_directory_durable")
 MAX_PAYLOAD, MAX_EXTENSION = (1 << 40) - 1, 65_536
 MIN_LEASE_NS, MAX_LEASE_NS = 10**9, 7 * 86_400 * 10**9
 
@@ -90,10 +93,11 @@ OBJECTS = (
     " bucket decimal(20,0), boot_id string, boottime_deadline_ns decimal(20,0), wall_deadline_ns decimal(20,0),"
     " not_before_ns decimal(20,0), token string, reason int, tag string, relative_path string"
 )
+_PLACE = "struct<state string, boot_id string, boottime_deadline_ns decimal(20,0), wall_deadline_ns decimal(20,0), not_before_ns decimal(20,0), terminal_bucket decimal(20,0), reason int>"
 TICKET = (
     "schema string, version int, queue_id string, operation string, phase string,"
-    " source_identity struct<job_id string, generation decimal(20,0), attempt bigint, maximum_attempts bigint>,"
-    " source string, destination_derivation string"
+    " source_identity struct<job_id string, generation decimal(20,0), attempt bigint, maximum_attempts bigint, lease_token string, envelope_digest string, payload_length decimal(20,0)>,"
+    f" source {_PLACE}, destination_derivation {_PLACE}"
 )
 
 

@@ -116,7 +116,7 @@ def read_tree(spark: SparkSession, root: str, config: QueueConfig = CONFIG, glob
 
 def with_names(files: DataFrame, config: QueueConfig = CONFIG) -> DataFrame:
     files = files.withColumns(N.parse_path(F.col("relative_path")))
-    files = N.with_parsed(files, "name", "bucket_hex", "shard_hex", config.queue_id)
+    files = N.with_parsed(files, "name", "bucket_hex", "shard_hex", config.queue_id, config.lease_bucket_width_ns)
     return files.withColumn("state", F.when(~F.col("kind").isin("temp"), F.col("kind")))
 
 
