@@ -31,6 +31,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from tidewheel.llm.common import over_batches
 #: Longest run of bytes that one merge loop gets, longest text that is encoded whole.
 LEAF_BYTES, TEXT_LEAF = 256, 512
 #: Bytes of remembered words in each Python worker, about; longest word remembered.
-MEMO_BYTES, MEMO_WORD = 128 << 20, 64
+MEMO_BYTES, MEMO_WORD = 96 << 20, 64
 #: Characters from the start of a word that splitting looks at, and words on each side of a window at first.
 LOOK, WINDOW = 3, 4
 
@@ -75,13 +76,14 @@ class BpeCodec:
         spec = json.loads(vocabulary)
         self.leaf, self.text_leaf = leaf, text_leaf
         self.joins = {"text": 0, "word": 0}  # done so far
-        self.full = Tokenizer.from_str(vocabulary)
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.end = Tokenizer.from_str(json.dumps(bare))
+        vocab = spec["model"]["vocab"]
+        # normalisation and splitting need no vocabulary
+        self.rules = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self._bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
         # many words at once: only a word's last token has the end mark
-        self.lines = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
-        self.mid = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
-        self.tokens = [self.full.id_to_token(i) for i in range(self.full.get_vocab_size())]
+        self.lines = Tokenizer.from_str(json.dumps(self._bare | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        numbered = sorted({**vocab, **{t["content"]: t["id"] for t in spec["added_tokens"]}}.items(), key=lambda x: x[1])
+        self.tokens = [t for t, _ in numbered]
         self.ends = [t.endswith("</w>") for t in self.tokens]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -93,6 +95,25 @@ class BpeCodec:
 
     # -- words
 
+    @cached_property
+    def end(self):
+        """For the end of a long word; made when there is one."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self._bare))
+
+    @cached_property
+    def mid(self):
+        """For the other leaves of a long word: no token is the last."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self._bare | {"model": self._bare["model"] | {"end_of_word_suffix": None}}))
+
+    def forget(self) -> None:
+        """Leave the remembered words."""
+        self.memo.clear()
+        self.memo_bytes = 0
+
     def _encode_words(self, words: list[str]) -> list[list[int]]:
         """Words in byte letters."""
         short = [w for w in words if len(w) <= self.leaf]
@@ -154,8 +175,7 @@ class BpeCodec:
         except KeyError:
             pass
         if self.memo_bytes > MEMO_BYTES:
-            memo.clear()
-            self.memo_bytes = 0
+            self.forget()
         new = [w for w in dict.fromkeys(words) if w not in memo]
         letters = self.letters
         coded = [w if w.isascii() and w.isprintable() else "".join([letters[x] for x in w.encode()]) for w in new]
@@ -173,14 +193,14 @@ class BpeCodec:
 
     def _split(self, text: str) -> list[str]:
         """The words of a normalised text that isn't plain."""
-        return [text[a:b] for _, (a, b) in self.full.pre_tokenizer.pre_tokenize_str(text) if a < b]
+        return [text[a:b] for _, (a, b) in self.rules.pre_tokenizer.pre_tokenize_str(text) if a < b]
 
     def _pieces(self, text: str) -> list[Piece]:
         """The pieces of a text without special tokens, by tree concatenation."""
         if _PLAIN.fullmatch(text):
             text, split = text.lower(), self.words
         else:
-            text, split = self.full.normalizer.normalize_str(text), self._split
+            text, split = self.rules.normalizer.normalize_str(text), self._split
         n = len(text)
         parts = 1 << (max(0, n - 1) // self.text_leaf).bit_length()  # halves of halves
         cuts = sorted({n * k // parts for k in range(parts + 1)})
@@ -283,6 +303,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, *, with_ids: bool = False,
                         arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[3]))))
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays)])
                     rows, held, start = [], 0, at
+        codec.forget()  # other stages' tasks run in the same worker
 
     return over_batches(
         docs.select(F.col("doc_id").cast("long"), F.col("text")), run, schema + (", ids array<int>" if with_ids else "")
