@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidewheel.llm.forest import nearest
+from tidewheel.llm.forest import TREES, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, score int"
 
@@ -22,12 +22,10 @@ def test_exact_on_small_and_odd_rows(spark):
     rows += [(200 + i, rows[7][1]) for i in range(30)] + [(150, rows[7][1]), (300, None), (350, [0.0] * 8), (400, [float("nan")] * 8), (450, [None] * 8), (500, []), (None, rows[1][1]), (550, [1.0, 2.0])]
     df = spark.createDataFrame([(i, e, 1) for i, e in rows], SCHEMA).repartition(5)
     got = {}
-    for r in nearest(df, "vec_id % 50 = 0", share=50.0).orderBy("query_id", "rank").collect():
+    for r in nearest(df, "vec_id % 50 = 0", share=float(TREES)).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     want = brute(rows)
     assert got == {q: [(i, s) for i, s in w] for q, w in want.items() if w}
-    portions = nearest(df, "vec_id % 50 = 0", share=50.0, max_query_bytes=64).count()
-    assert portions == sum(map(len, got.values()))
     assert nearest(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
@@ -43,3 +41,38 @@ def test_recall(spark):
         hits += len(got[q] & {i for i, _ in w})
         total += len(w)
     assert hits >= 0.9 * total
+
+
+def test_blocks_by_prefix(spark, monkeypatch):
+    """Many small blocks, every one reached: the result is exact, copies and other magnitudes included."""
+    from tidewheel.llm import forest
+
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((200, 6))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(200)] + [(1000 + i, rows_[1]) for i in range(60) for rows_ in [(0, [float(x) for x in v[3]])]]
+    df = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<double>, score int").repartition(6)
+    got = {}
+    for r in nearest(df, "vec_id % 50 = 0", share=float(TREES)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute(rows)
+
+
+def test_any_magnitude(spark):
+    base = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [-1.0, 0.5, 2.0], [3.0, 1.0, 0.0]]
+    for size in (1e-200, 1e-300, 1e200, 1e300, 5e-324):
+        rows = [(50 * i, [x * size for x in e]) for i, e in enumerate(base)]
+        got = nearest(spark.createDataFrame([r for r in rows if any(r[1])], "vec_id long, embedding array<double>"), "vec_id = 0", k=2).orderBy("rank").collect()
+        assert len(got) == 2 and all(-1 <= r["score"] <= 1.0000001 for r in got)
+        if size > 1e-300:
+            assert got[0]["vec_id"] == 50 and abs(got[0]["score"] - 0.99993) < 1e-4
+
+
+def test_candidates_are_a_small_share_where_vectors_cluster():
+    from tidewheel.llm.forest import fit
+
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((60, 32))
+    v = centres[rng.integers(0, 60, 6000)] + 0.1 * rng.standard_normal((6000, 32))
+    share, reach = fit(v, 5, 6)
+    assert share <= 0.3 and reach <= 3

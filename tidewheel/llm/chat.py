@@ -42,8 +42,11 @@ def rotate(turns: DataFrame, *, speaker: str = "role", part_turns: int = PART_TU
         F.coalesce("text", F.lit("")).alias("text"),
     )
     t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long"))
-    who = t.filter(F.col("who") != SYSTEM).groupBy("ckey").agg(F.collect_set("who").alias("speakers"))
-    t = t.join(who, "ckey").repartition("ckey", "part").withColumn("speaker", F.explode("speakers"))
+    # speakers meet the turns part by part, so that a long conversation is many groups of the join, too
+    each = t.groupBy("ckey", "part", "who").count().select("ckey", "part", "who")
+    who = each.filter(F.col("who") != SYSTEM).select("ckey", F.col("who").alias("speaker")).distinct()
+    who = each.select("ckey", "part").distinct().join(who, "ckey").groupBy("ckey", "part").agg(F.collect_list("speaker").alias("speakers"))
+    t = t.join(who, ["ckey", "part"]).withColumn("speaker", F.explode("speakers"))
     mine = F.col("who") == F.col("speaker")
     head = F.when(F.col("who") == SYSTEM, F.lit(SYSTEM)).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), safe(F.col("who"))))
     opening = F.concat(F.lit("<|im_start|>"), head, F.lit("\n"))

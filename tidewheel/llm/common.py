@@ -45,5 +45,5 @@ def crc_fold(doc_id: str, folds: int) -> Column:
 
 def with_fields(first: str, df: DataFrame, names: Iterable[str], last: str) -> T.StructType:
     """A schema: fields as DDL, columns of ``df``, fields as DDL."""
-    parse = lambda ddl: list(T.StructType.fromDDL(ddl).fields)
+    parse = lambda ddl: list(T.StructType.fromDDL(ddl).fields) if ddl else []
     return T.StructType([*parse(first), *(df.schema[c] for c in names), *parse(last)])

@@ -6,15 +6,16 @@ case; keys shorter than ``min_chars`` code points are left alone.
 1. Every task lists the 64-bit hashes of its documents' keys, each once, with a mark if two of
    its documents have it.  Hashes travel packed, by segment of the hash space.
 2. A segment has a Bloom filter for hashes seen once and one for those seen twice; a hash that
-   the first filter has already seen enters the second.  Only the second goes on.
-3. Lines that the second filter may hold are suspected repeats.  Only they shuffle, as
+   the first filter has already seen enters the second.  The segment's own hashes are then asked of
+   the second, and those that it may hold are suspected repeats.  Only they go on.
+3. The suspects make a filter of their own, which is far smaller than the lines.  Lines that it may hold shuffle, as
    key and count of documents (added up in each task first), for the exact confirmation.
 4. Confirmed lines leave the documents: all of them (``keep="none"``), or all but the first
    occurrence in the order of ids (``keep="first"``).
 
-The filter for lines seen twice is broadcast in portions of at most ``max_filter_bytes`` (one segment
-at least); documents are read once for each portion.  Confirmed keys are broadcast if they have at
-most ``max_keys_bytes``, which is measured; beyond that, confirmed lines are found by a join on the key.
+The filter of the suspects is broadcast in portions of at most ``max_filter_bytes`` (one segment
+at least); documents are read once for each portion.  Confirmed keys are broadcast, those of most documents first, up to
+``max_keys_bytes``, which is measured; the lines of all others, of which none is in many documents then, are found by a join on the key.
 
 A null or empty text is one empty line.  Null ids come after all others.  Repeated rows are
 documents of their own; of rows that tie for the first occurrence, each keeps it.  An
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import cut, over_batches, utf8, with_fields
@@ -110,27 +112,57 @@ class _Filters:
             self.twice[p[old]] = True
 
 
-def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_hashes`` in the order of segments -> (segment, bits of the filter for lines seen twice)."""
-    now, filters = None, None
+def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_hashes`` in the order of segments -> (segment, the different hashes that the filter for lines seen twice may hold)."""
+    now, filters, held = None, None, []
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([now], pa.int64()), pa.array([np.packbits(filters.twice).tobytes()], pa.binary())], names=["seg", "bits"]
-        )
+        h = np.unique(np.concatenate(held))
+        a, b, c = _probes(h)
+        h = h[filters.twice[a] & filters.twice[b] & filters.twice[c]]
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([h.tobytes()], pa.binary())], names=["seg", "hashes"])
 
     for batch in batches:
         for seg, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if seg != now:
                 if filters is not None:
                     yield out()
-                now, filters = seg, _Filters()
-            filters.add(np.frombuffer(once, np.uint64), False)
-            filters.add(np.frombuffer(twice, np.uint64), True)
+                now, filters, held = seg, _Filters(), []
+            for data, repeated in ((once, False), (twice, True)):
+                h = np.frombuffer(data, np.uint64)
+                filters.add(h, repeated)
+                held.append(h)
     if filters is not None:
         yield out()
 
 
+def _regroup(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+    """(segment, hashes) -> the same by the fewer segments that suspects need."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)])
+        seg = _segment(h, segments)
+        found = np.unique(seg).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([h[seg == s].tobytes() for s in found], pa.binary())], names=["seg", "hashes"])
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, hashes) in the order of segments -> (segment, bits of the suspects' filter)."""
+    now, bits = None, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["seg", "bits"])
+    for batch in batches:
+        for seg, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if seg != now:
+                if bits is not None:
+                    yield out()
+                now, bits = seg, np.zeros(SEGMENT_BITS, bool)
+            for p in _probes(np.frombuffer(hashes.as_buffer(), np.uint64)):
+                bits[p] = True
+    if bits is not None:
+        yield out()
+
+
 def _count_suspects(batches: Iterator[pa.RecordBatch], min_chars: int, bits: dict[int, bytes], segments: int, ids: bool, portion: range) -> Iterator[pa.RecordBatch]:
     """(key, documents of this task with it, first of them) for keys that the filters of these segments may hold."""
     from xxhash import xxh64_intdigest
@@ -219,9 +251,14 @@ def repeated_lines(
     text = docs.select(utf8().alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     n_lines = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     segments = max(1, -(-n_lines // SEGMENT_LINES))
-    packed = over_batches(text.select("text"), lambda it: _hashes(it, min_chars, segments), "seg long, once binary, twice binary")
+    by_lines = segments
+    packed = over_batches(text.select("text"), lambda it: _hashes(it, min_chars, by_lines), "seg long, once binary, twice binary")
     parts = packed.repartition("seg").sortWithinPartitions("seg")
-    filters = over_batches(parts, _twice, "seg long, bits binary")
+    suspected = cut(over_batches(parts, _suspects, "seg long, hashes binary"))
+    n_suspects = suspected.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
+    segments = max(1, -(-int(n_suspects) // SEGMENT_LINES))
+    fewer = over_batches(suspected, lambda it: _regroup(it, segments), "seg long, hashes binary")
+    filters = over_batches(fewer.repartition("seg").sortWithinPartitions("seg"), _bits, "seg long, bits binary")
     step = max(1, max_filter_bytes * 8 // SEGMENT_BITS)
     portions = [range(a, min(a + step, segments)) for a in range(0, segments, step)]
     if len(portions) > 1:
@@ -254,29 +291,45 @@ def dedup_lines(
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     confirmed = cut(repeated_lines(docs, min_docs=min_docs, min_chars=min_chars, max_filter_bytes=max_filter_bytes, first=keep == "first"))
-    weight = confirmed.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0  # 100: a dict entry
-    rest = [F.col(c) for c in carry]
-    if weight <= max_keys_bytes:
-        keys = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]): r["first"] for r in confirmed.collect()})
-        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), *rest)
-        schema = with_fields("doc_id long", d, carry, "n_lines long, n_dropped long, kept string")
-        return over_batches(d, lambda it: _drop(it, keys.value, keep == "first", min_chars), schema)
-    d = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest))
-    lines = d.select("row", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    least = _broadcast_from(confirmed, max_keys_bytes)
+    rows = confirmed if least == 0 else confirmed.filter(F.log2(F.col("n")) >= least)
+    keys = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]): r["first"] for r in rows.select("key", "first").collect()})
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), *[F.col(c) for c in carry])
+    schema = with_fields("doc_id long", d, carry, "n_lines long, n_dropped long, kept string")
+    out = over_batches(d, lambda it: _drop(it, keys.value, keep == "first", min_chars), schema)
+    return out if least == 0 else _drop_by_join(out, confirmed.filter(F.log2(F.col("n")) < least), keep == "first", carry)
+
+
+def _broadcast_from(confirmed: DataFrame, most_bytes: int) -> int:
+    """The smallest power of two (its exponent) such that the keys of at least so many documents weigh ``most_bytes`` or less; 0 for all keys."""
+    weight = F.sum(F.octet_length("key") + 100).alias("bytes")  # 100: a dict entry
+    classes = confirmed.groupBy(F.floor(F.log2(F.col("n"))).alias("power")).agg(weight).orderBy(F.desc("power")).collect()  # 64 rows at most
+    total, least = 0, 64
+    for r in classes:
+        total += r["bytes"]
+        if total > most_bytes:
+            return least
+        least = int(r["power"])
+    return 0
+
+
+def _drop_by_join(rows: DataFrame, confirmed: DataFrame, keep_first: bool, carry: tuple[str, ...]) -> DataFrame:
+    """Rows of ``_drop`` without the lines of further confirmed keys."""
+    d = cut(rows.withColumn("row", F.struct(*carry) if carry else F.lit(0)).select(F.monotonically_increasing_id().alias("nr"), "doc_id", "n_lines", "n_dropped", "kept", "row"))
+    lines = d.filter("n_dropped < n_lines").select("nr", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.posexplode(F.split("kept", "\n")).alias("pos", "line"))
     lines = lines.withColumn("key", _key_column(F.col("line")).cast("binary"))
-    lines = lines.join(confirmed.select("key", "first"), "key", "left")
-    if keep == "first":
-        own = lines.filter("first = id").groupBy("row", "key").agg(F.min("pos").alias("own"))
-        lines = lines.join(own, ["row", "key"], "left")
-        gone = F.col("first").isNotNull() & ((F.col("first") != F.col("id")) | (F.col("pos") != F.col("own")))
-    else:
-        gone = F.col("first").isNotNull()
-    lines = lines.withColumn("gone", gone)
-    kept = lines.groupBy("row").agg(
-        F.count("*").alias("n_lines"), F.count_if("gone").alias("n_dropped"), F.sort_array(F.collect_list(F.when(~F.col("gone"), F.struct("pos", "line")))).alias("kept")
-    )
-    out = d.drop("text").join(kept, "row")
-    return out.select("doc_id", *carry, "n_lines", "n_dropped", F.array_join(F.transform("kept", lambda r: r["line"]), "\n").alias("kept"))
+    hit = lines.select("nr", "id", "pos", "key").join(confirmed.select("key", "first"), "key")
+    if keep_first:
+        own = F.min(F.when(F.col("first") == F.col("id"), F.col("pos"))).over(W.partitionBy("nr", "key"))
+        hit = hit.withColumn("own", own).filter(F.col("own").isNull() | (F.col("pos") != F.col("own")))
+    gone = hit.groupBy("nr").agg(F.collect_set("pos").alias("gone"))  # lines of one document
+    out = d.join(gone, "nr", "left")
+    all_lines = F.split("kept", "\n")
+    left = F.filter(F.transform(all_lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("gone").isNull(), F.col("kept")).otherwise(F.array_join(left, "\n"))
+    more = F.coalesce(F.size("gone"), F.lit(0))
+    more = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(more)
+    return out.select("doc_id", *[F.col("row")[c].alias(c) for c in carry], "n_lines", (F.col("n_dropped") + more).cast("long").alias("n_dropped"), text.alias("kept"))
 
 
 def digest(rows: DataFrame) -> DataFrame:
