@@ -8,6 +8,7 @@ import sys
 import duckdb
 import pytest
 
+from tidewheel.plans import flows, objects  # noqa: F401
 from tidewheel.plans import queries as P
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

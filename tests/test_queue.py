@@ -37,12 +37,6 @@ def test_held_and_duplicate(spark):
     assert sorted(r["outcome"] for r in X.held(lease, ask).collect()) == ["committed", "lease_lost", "lease_lost"]
 
 
-def test_tickets(spark):
-    good = '{"schema":"s","version":2,"queue_id":"%s","operation":"claim","source_identity":{"job_id":"%s","generation":1,"attempt":0,"maximum_attempts":3},"source":"a"}' % ("42" * 16, "ab" * 16)
-    t = spark.createDataFrame([(good,), (good.replace('"version":2', '"version":1'),), ("{",)], "ticket string")
-    assert [r["valid"] for r in lookup.parse_tickets(t).collect()] == [True, False, False]
-
-
 def test_invariants(spark):
     rows = [("a", "leased", "t", 1, 3), ("b", "leased", "t", 1, 3), ("c", "leased", None, 1, 3), ("d", "ready", "x", 0, 3), ("e", "receipt", "y", 0, 3), ("f", "ready", None, 4, 3), ("g", "ready", None, 0, 3)]
     o = spark.createDataFrame(rows, "job_id string, state string, token string, attempt long, maximum_attempts long")
@@ -169,14 +163,21 @@ def _fold(rows, seconds):
 
 
 def test_stream_equals_fold(spark, small, tmp_path):
-    got = leases.run_to_table(leases.lease_expiry(leases.event_stream(spark, small), 6 * 3600), str(tmp_path))
+    got = leases.run_to_table(leases.lease_expiry(leases.event_stream(spark, small), 6 * 3600, retention_us=10**18), str(tmp_path))
     log = S.transitions(spark, small).select("job_id", "op", F.expr("wall_ns div 1000"), "seq").orderBy("wall_ns", "seq").collect()
     want = _fold([(r[0], r[1], r[2]) for r in log], 6 * 3600)
     rows = [tuple(r) for r in got.select("job_id", "outcome", "generation", "at_us").collect()]
     # a timer may have expired the last lease of a job already
     assert set(want) <= set(rows) and all(r[1] == "expired" for r in set(rows) - set(want)) and len(rows) == len(set(rows))
-    marks = leases.wall_watermark(leases.event_stream(spark, small), str(tmp_path), 10_000_000).orderBy("epoch").collect()
-    assert [m["bucket"] for m in marks] == sorted(m["bucket"] for m in marks)
+
+
+def test_watermark_outlives_restarts_and_old_clocks(spark, small, tmp_path):
+    stream = leases.event_stream(spark, small)
+    leases.wall_watermark(stream, f"{tmp_path}/log", f"{tmp_path}/marks", 10_000_000)
+    top = leases.stored_watermark(spark, f"{tmp_path}/marks").first()["bucket"]
+    old = stream.withColumn("ts", F.col("ts") - F.expr("interval 30 days"))
+    leases.wall_watermark(old, f"{tmp_path}/log2", f"{tmp_path}/marks", 10_000_000)
+    assert leases.stored_watermark(spark, f"{tmp_path}/marks").first()["bucket"] == top
 
 
 def test_no_python_in_hot_plans(spark, small):

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.schema import HASH_DOMAIN, U64, U64_MAX
+from tidewheel.schema import EXIT_CODES, HASH_DOMAIN, MAX_LEASE_NS, MAX_PAYLOAD, MIN_LEASE_NS, U64, U64_MAX
 
 NO_MORE = (1 << 63) - 1
 
@@ -34,6 +34,11 @@ def bind(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that later expressions and filters refer to without computing it again: a generator of one row keeps the optimizer from copying it."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(column)).alias(name))
+
+
 def in_range(x: Column, most: int = U64_MAX) -> Column:
     """x as an unsigned value, null outside 0..most."""
     return F.when((x >= 0) & (x <= whole(most, "decimal(38,0)")), x.cast(U64))
@@ -165,6 +170,37 @@ def check_policy(base: int, cap: int, max_delay: int | None = None) -> None:
         raise ValueError("the cap is at least the base delay")
 
 
+def policy_ok(base: Column, cap: Column) -> Column:
+    """Whether a base delay and the cap in effect make a retry policy."""
+    return (base > 0) & (cap >= base)
+
+
+def midpoint(lower: Column, span: Column) -> Column:
+    return (_wide(lower) + _wide(_div(span, u64(2)))).cast(U64)
+
+
+def lease_duration_ok(ns: Column) -> Column:
+    return ns.between(MIN_LEASE_NS, MAX_LEASE_NS)
+
+
+def options_ok(shards: Column, lease_width: Column, delayed_width: Column, terminal_width: Column, max_payload: Column) -> Column:
+    """Whether a queue can have these options: shards a power of two up to 4096, widths positive, the terminal width a
+    minute to a day and a multiple of the delayed width, payloads up to 2^40 - 1.
+    """
+    n = shards.cast("long")
+    power = n.between(1, 4096) & (n.bitwiseAND(n - 1) == 0)
+    end = terminal_width.between(60 * 10**9, 86_400 * 10**9) & (terminal_width.cast(U64) % delayed_width.cast(U64) == 0)
+    return F.coalesce(power & (lease_width > 0) & (delayed_width > 0) & end & max_payload.between(0, MAX_PAYLOAD), F.lit(False))
+
+
+def exit_code(error: Column) -> Column:
+    """The command line's exit code for an error; 1 for one that isn't known, 0 for none."""
+    c = F.when(error.isNull(), 0).otherwise(1)
+    for code in sorted(set(EXIT_CODES.values()) - {1}):
+        c = F.when(error.isin(*[e for e, x in EXIT_CODES.items() if x == code]), code).otherwise(c)
+    return c
+
+
 def retry_ceiling(base: Column, cap: Column, attempt: Column) -> Column:
     return F.when(attempt == 0, u64(0)).otherwise(F.least(u64(cap), saturating_double(base, attempt)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.kernels import boot_dashed, boot_hex, bucket_floor, hex_field, name_tag, u64
+from tidewheel.functions.kernels import boot_dashed, boot_hex, bucket_floor, hex_field, name_tag, once, u64
 
 _COMMON = "[0-9a-f]{32}\\.g[0-9a-f]{16}\\.a[0-9a-f]{8}\\.m[0-9a-f]{8}"
 _TAG = "\\.k[0-9a-f]{16}\\."
@@ -130,7 +130,7 @@ def with_parsed(
 
     A lease's tag stands for the bucket of its deadline: leases that lie with the ready objects have no bucket directory.
     """
-    df = df.withColumn("kind", kind_of(F.col(name)))
+    df = once(df, "kind", kind_of(F.col(name)))
     df = df.withColumns({w: field(F.col(name), F.col("kind"), w) for w in FIELDS})
     if queue_id is None:
         return df

@@ -104,7 +104,7 @@ def fsck(files: DataFrame, config: QueueConfig, deep: bool = True) -> DataFrame:
     )
     if deep:
         finding = finding.when(seen("read_failed"), "payload_read_failed").when(head["payload_digest"] != K.payload_digest(B.payload(data)), "payload_digest_mismatch")
-    out = visited.select("relative_path", "job_id", finding.alias("finding"))
+    out = K.once(visited, "finding", finding).select("relative_path", "job_id", "finding")
     return out.withColumn("severity", severity(F.col("finding")))
 
 
@@ -116,7 +116,7 @@ def repair(findings: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     reason = F.lit(None).cast("int")
     for name, code in REPAIR_REASONS.items():
         reason = F.when(F.col("finding") == name, code).otherwise(reason)
-    moves = findings.select("relative_path", reason.alias("reason")).filter("reason is not null")
+    moves = K.once(findings, "reason", reason).select("relative_path", "reason").filter("reason is not null")
     moves = moves.withColumn("quarantine_id", F.md5(F.concat_ws(":", F.lit("quarantine"), "relative_path")))
     moves = moves.withColumn("name", N.quarantine_name(F.col("quarantine_id"), F.col("reason")))
     clash = F.lit(False)
@@ -134,9 +134,8 @@ def exit_code(findings: DataFrame) -> DataFrame:
 
 
 def problems(files: DataFrame, config: QueueConfig, deep: bool = True) -> DataFrame:
-    """Only the files with a finding.  The generator keeps the checks out of a filter, where they would be computed again."""
-    found = fsck(files, config, deep).drop("severity").withColumn("finding", F.explode(F.array_compact(F.array("finding"))))
-    return found.withColumn("severity", severity(F.col("finding")))
+    """Only the files with a finding."""
+    return fsck(files, config, deep).filter("finding is not null")
 
 
 def report(findings: DataFrame, moves: DataFrame | None = None) -> DataFrame:

@@ -60,3 +60,20 @@ def scan_stats(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("relative_path", "([^/]*)$", 1)
     folder = F.regexp_replace("relative_path", "/[^/]*$", "")
     return files.agg(F.countDistinct(folder).alias("directories"), F.count("*").alias("entries"), F.sum(F.octet_length(name)).alias("name_bytes"))
+
+
+def walk(files: DataFrame) -> DataFrame:
+    """state (the first directory), objects and the oldest modification time of a listing (relative_path, modified)."""
+    state = F.substring_index("relative_path", "/", 1)
+    return files.groupBy(state.alias("state")).agg(F.count("*").alias("objects"), F.min("modified").alias("oldest"))
+
+
+def throughput(log: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """One row: how many entries (kind, us) of each named kind, and how many a second between the first entry and the last."""
+    counted = log.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()], ((F.max("us") - F.min("us")) / 1_000_000).alias("seconds"))
+    return counted.select(*kinds, *[F.when(F.col("seconds") > 0, F.col(n) / F.col("seconds")).alias(f"{n}_per_second") for n in kinds])
+
+
+def dirty(writes: DataFrame) -> DataFrame:
+    """What a group commit has to sync: each (device, inode) once, with its number of writes."""
+    return writes.groupBy("device", "inode").agg(F.count("*").alias("writes"))

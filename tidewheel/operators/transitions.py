@@ -40,8 +40,12 @@ def promote(delayed: DataFrame, floor_ns: int, config: QueueConfig) -> DataFrame
     return promotable(delayed, floor_ns, config).withColumns({"state": F.lit("ready"), "generation": F.col("generation") + 1, "bucket": F.lit(None).cast("long")})
 
 
-def claimable() -> Column:
-    return F.col("attempt") < F.col("maximum_attempts")
+def claimable(rows: DataFrame | None = None) -> Column:
+    """Attempts are left; and for rows of a tree (``sources.with_names``) also a name of a ready object, its tag and its shard."""
+    left = F.col("attempt") < F.col("maximum_attempts")
+    if rows is not None and "tag_ok" in rows.columns:
+        left = F.coalesce(left & (F.col("kind") == "ready") & F.col("tag_ok") & F.col("shard_ok"), F.lit(False))
+    return left
 
 
 def claim(ready: DataFrame, per_shard: int, now_ns: int, boottime_ns: int, duration_ns: int, boot_id: str, config: QueueConfig) -> DataFrame:
@@ -97,6 +101,9 @@ def renew(leased: DataFrame, now_ns: Column, duration_ns: int, config: QueueConf
 
 
 def acknowledge(leased: DataFrame, floor_ns: Column, config: QueueConfig) -> DataFrame:
+    """leased -> receipt.  Rows that have payload and payload_digest get a receipt only if the payload still has that digest."""
+    if "payload" in leased.columns and "payload_digest" in leased.columns:
+        leased = leased.filter(K.payload_digest(F.col("payload")) == F.col("payload_digest"))
     return leased.withColumns(
         {"state": F.lit("receipt"), "generation": F.col("generation") + 1, "bucket": K.bucket_floor(floor_ns, F.lit(config.terminal_bucket_width_ns)).cast("long")}
     )
@@ -119,15 +126,18 @@ def retry(leased: DataFrame, floor_ns: Column, not_before_ns: Column, config: Qu
     )
 
 
-def expired(now_ns: int, boot_id: str) -> Column:
-    """A lease of another boot, or whose deadline has passed."""
-    return (F.col("boot_id") != boot_id) | (F.col("deadline_ns") <= now_ns)
+def expired(now_ns: int, boot_id: str, config: QueueConfig | None = None) -> Column:
+    """A lease of another boot, or whose deadline has passed.  With ``config``, also by the lease's bucket, which prunes partitions."""
+    passed = F.col("deadline_ns") <= now_ns
+    if config is not None:
+        passed = (F.col("bucket") <= now_ns // config.lease_bucket_width_ns) & passed
+    return (F.col("boot_id") != boot_id) | passed
 
 
-def reap(leased: DataFrame, now_ns: int, boot_id: str) -> DataFrame:
+def reap(leased: DataFrame, now_ns: int, boot_id: str, config: QueueConfig | None = None) -> DataFrame:
     """Expired leases -> ready if attempts remain, else dead."""
     left = F.col("attempt") < F.col("maximum_attempts")
-    return leased.filter(expired(now_ns, boot_id)).withColumns(
+    return leased.filter(expired(now_ns, boot_id, config)).withColumns(
         {
             "op": F.when(left, "reap_expired_to_ready").otherwise("reap_expired_to_dead"),
             "state": F.when(left, "ready").otherwise("dead"),
@@ -190,32 +200,98 @@ def legal(op: Column, source: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def with_source(log: DataFrame) -> DataFrame:
-    """from_state by the entry before (hidden for the first), whether it was legal or not, and ``legal``."""
-    before = F.lag("to_state").over(W.partitionBy("job_id").orderBy("generation"))
-    log = log.withColumn("from_state", F.coalesce(before, F.lit("hidden")))
-    return log.withColumn("legal", legal(F.col("op"), F.col("from_state")))
+#: Entries of a job that one task puts in order.
+CHUNK = 4096
+
+
+def with_source(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """from_state by the entry before (hidden for the first), whether it was legal or not, and ``legal``.
+
+    A job's log is cut into chunks of generations, so that a hot job is many groups; a chunk's first entry takes the last state of the chunk before.
+    """
+    log = log.withColumn("_chunk", F.floor(F.col("generation") / chunk))
+    ends = log.groupBy("job_id", "_chunk").agg(F.max_by("to_state", "generation").alias("_end"))
+    ends = ends.select("job_id", "_chunk", F.lag("_end").over(W.partitionBy("job_id").orderBy("_chunk")).alias("_before"))
+    before = F.lag("to_state").over(W.partitionBy("job_id", "_chunk").orderBy("generation"))
+    log = log.withColumn("_own", before).join(ends, ["job_id", "_chunk"])
+    log = log.withColumn("from_state", F.coalesce("_own", "_before", F.lit("hidden")))
+    return log.withColumn("legal", legal(F.col("op"), F.col("from_state"))).drop("_chunk", "_own", "_before")
+
+
+#: States that a fold of a log can be in.
+_FOLD = ("hidden", "ready", "leased", "delayed", "receipt", "dead", "quarantine")
 
 
-def accepted(log: DataFrame) -> DataFrame:
+def accepted(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Fold of each job's log that only follows legal edges: job_id, state, accepted, rejected.
 
-    A job's entries are gathered, so this is for logs with a bounded history a job; retention bounds it.
+    A stretch of the log is a function from the state before it to the state after it, and functions compose.  So chunks of generations
+    are first folded from every state at once, then each chunk's true state before it is looked up, and then entries are counted from there.
+    No task holds more than a chunk's entries, and a job's chunks.
     """
     entry = F.struct("generation", "op", "to_state")
-    logs = log.groupBy("job_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
-    start = F.struct(F.lit("hidden").alias("state"), F.lit(0).cast("long").alias("n"))
+    logs = log.groupBy("job_id", F.floor(F.col("generation") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("log"))
+
+    def move(state: Column, x: Column) -> Column:
+        return F.when(legal(x["op"], state), x["to_state"]).otherwise(state)
+
+    after = F.struct(*[F.aggregate("log", F.lit(s), move).alias(s) for s in _FOLD])
+    last = F.max("chunk").over(W.partitionBy("job_id"))
+    many = logs.select("job_id", "chunk", after.alias("after"), last.alias("last")).filter("last > 0")
+    chunks = many.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "after"))).alias("chunks"))
+
+    def next_start(acc: Column, c: Column) -> Column:
+        end = F.lit("hidden")
+        for s in _FOLD:
+            end = F.when(acc["state"] == s, c["after"][s]).otherwise(end)
+        begun = F.concat(acc["starts"], F.array(F.struct(c["chunk"].alias("chunk"), acc["state"].alias("state"))))
+        return F.struct(end.alias("state"), begun.alias("starts"))
+
+    none = F.struct(F.lit("hidden").alias("state"), F.array().cast("array<struct<chunk:bigint,state:string>>").alias("starts"))
+    starts = chunks.select("job_id", F.explode(F.aggregate("chunks", none, next_start)["starts"]).alias("s")).select("job_id", "s.chunk", F.col("s.state").alias("start"))
+    logs = logs.join(starts, ["job_id", "chunk"], "left").withColumn("start", F.coalesce("start", F.lit("hidden")))
 
     def step(acc: Column, x: Column) -> Column:
         ok = legal(x["op"], acc["state"])
         return F.struct(F.when(ok, x["to_state"]).otherwise(acc["state"]).alias("state"), (acc["n"] + ok.cast("long")).alias("n"))
 
-    done = F.aggregate("log", start, step)
-    return logs.withColumn("done", done).select(
-        "job_id", F.col("done.state").alias("state"), F.col("done.n").alias("accepted"), (F.size("log").cast("long") - F.col("done.n")).alias("rejected")
+    done = F.aggregate("log", F.struct(F.col("start").alias("state"), F.lit(0).cast("long").alias("n")), step)
+    counted = logs.select("job_id", "chunk", done.alias("done"), F.size("log").cast("long").alias("entries"))
+    return counted.groupBy("job_id").agg(
+        F.max_by("done.state", "chunk").alias("state"), F.sum("done.n").alias("accepted"), (F.sum("entries") - F.sum("done.n")).alias("rejected")
     )
 
 
+def attempt_history(log: DataFrame) -> DataFrame:
+    """Each log entry with the entry before and after it and the time since (an extension): job_id, generation, op, previous_op, next_op, gap_ns."""
+    by = W.partitionBy("job_id").orderBy("generation")
+    return log.select("job_id", "generation", "op", F.lag("op").over(by).alias("previous_op"), F.lead("op").over(by).alias("next_op"), (F.col("wall_ns") - F.lag("wall_ns").over(by)).alias("gap_ns"))
+
+
+def retry_with_policy(leased: DataFrame, floor_ns: Column, base_ms: int, cap_ms: int, queue_id: str, config: QueueConfig, jitter: bool = True, max_delay_ms: int | None = None) -> DataFrame:
+    """``retry`` at the deadline that a policy gives: delay by attempt, capped, with or without jitter; a deadline beyond the clock's range is null and retries at once."""
+    K.check_policy(base_ms, cap_ms, max_delay_ms)
+    cap = K.effective_cap(F.lit(cap_ms), None if max_delay_ms is None else F.lit(max_delay_ms))
+    attempt = F.col("attempt")
+    delay = K.retry_delay(F.lit(queue_id), F.col("job_id"), F.lit(base_ms), cap, attempt) if jitter else K.retry_ceiling(F.lit(base_ms), cap, attempt)
+    at = K.retry_deadline(floor_ns, K.checked_mul(delay, F.lit(1_000_000))).cast("long")
+    timed = leased.withColumns({"delay_ms": delay.cast("long"), "not_before_ns": at})
+    return retry(timed, floor_ns, F.coalesce(F.col("not_before_ns"), floor_ns), config)
+
+
+def durable(outcomes: DataFrame, synced_to: int) -> DataFrame:
+    """Outcomes of deferred commits: ``committed`` up to the last sync's sequence number, ``deferred`` behind it."""
+    return outcomes.withColumn("durability", F.when(F.col("outcome") != "committed", F.col("outcome")).when(F.col("seq") <= synced_to, "committed").otherwise("deferred"))
+
+
+def poisoned(outcomes: DataFrame, handle: str = "handle", seq: str = "seq") -> DataFrame:
+    """``poisoned``: whether a handle had an indeterminate outcome before this operation; its later operations are refused (outcome refused)."""
+    first = outcomes.filter("outcome = 'unknown'").groupBy(handle).agg(F.min(seq).alias("_first"))
+    rows = outcomes.join(first, handle, "left")
+    rows = rows.withColumn("poisoned", F.coalesce(F.col(seq) > F.col("_first"), F.lit(False)))
+    return rows.withColumn("outcome", F.when(F.col("poisoned"), "refused").otherwise(F.col("outcome"))).drop("_first")
+
+
 def running_max(log: DataFrame, value: str, seq: str, chunk: int = 65_536) -> DataFrame:
     """``floor``: the largest value up to each row in the order of ``seq``, chunk by chunk, so that no task sorts the log."""
     log = log.withColumn("_chunk", F.floor(F.col(seq) / chunk))

@@ -13,11 +13,9 @@ from tidewheel.functions import kernels as K
 from tidewheel.functions import names as N
 from tidewheel.operators import audit, lookup, recovery, stats
 from tidewheel.operators import transitions as X
-from tidewheel.runtime import shared_folder
-from tidewheel.schema import DEAD_REASONS, EXIT_CODES, HASH_DOMAIN, METRIC_PREFIX, PROTOCOL, STATES
+from tidewheel.schema import DEAD_REASONS, HASH_DOMAIN, METRIC_PREFIX, PROTOCOL, STATES
 from tidewheel.sources import tables as S
 from tidewheel.sources.tables import BOOT_ID, CONFIG, EVENTS_NOW_NS, NOW_NS
-from tidewheel.streaming import leases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,7 +93,7 @@ FROM d LEFT JOIN g ON d.state = g.state"""
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
-    return S.latest(S.transitions(spark, d)).withColumnRenamed("to_state", "state")
+    return S.current(spark, d)
 
 
 # -- statistics
@@ -472,11 +470,6 @@ def metadata_validation(spark, d):
     return e.select("event_id", K.metadata_ok(F.col("m")).alias("valid"))
 
 
-@query("WITH e(error, code) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in EXIT_CODES.items()) + ") SELECT error, code FROM e")
-def exit_codes(spark, d):
-    return spark.createDataFrame(list(EXIT_CODES.items()), "error string, code int")
-
-
 # -- binary records
 
 
@@ -530,7 +523,7 @@ def format_record(spark, d):
     return got.select(F.col("n_nationkey").alias("nation"), F.round(F.log2(F.col("f.shard_count").cast("double"))).cast("int").alias("power"), "f.error")
 
 
-@query()
+@query("SELECT md5(CAST(doc_id AS VARCHAR)) AS job_id, NULL AS error, 'text/' || lang AS content_type FROM documents")
 def cbor_decode(spark, d):
     p = S.payloads(spark, d).select("job_id", cbor.decode_column(_extension(F.col("content_type"))).alias("x"))
     return p.select("job_id", "x.error", "x.content_type")
@@ -591,16 +584,10 @@ def crash_gates(spark, d):
 
 @query(f"WITH {ATTEMPTS} SELECT job_id, 'attempt_within_maximum' AS invariant, count(*) AS n FROM attempts WHERE attempt > maximum_attempts GROUP BY 1")
 def attempt_invariant(spark, d):
-    a = S.attempts(spark, d).withColumn("state", F.lit("leased")).filter("attempt > maximum_attempts")
+    a = S.attempts(spark, d).withColumn("state", F.lit("leased"))
     return audit.broken_invariants(a).filter("invariant = 'attempt_within_maximum'").groupBy("job_id", "invariant").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {JOBS} SELECT job_id, 'none' AS invariant FROM jobs WHERE FALSE")
-def token_invariant(spark, d):
-    """No violations among claimed rows."""
-    return audit.broken_invariants(_claimed(spark, d))
-
-
 def _files(spark, d):
     """Stored objects of the documents: those of quality 0 have a foreign digest, every 97th a foreign tag, every 89th another shard."""
     p = S.corrupted(spark, d).withColumns({"shard": K.shard(_queue(), F.col("job_id"), CONFIG.shard_count), "maximum_attempts": F.lit(3)})
@@ -666,11 +653,3 @@ def budget_resume(spark, d):
         if cursor is None:
             break
     return out
-
-
-# -- streaming
-
-
-@query()
-def streaming_lease_expiry(spark, d):
-    return leases.run_to_table(leases.lease_expiry(leases.event_stream(spark, d), 6 * 3600), shared_folder(spark))

@@ -15,11 +15,13 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only where neither that setting nor the context names one (tests), a folder is made for it.
+    Only where neither that setting nor the context names one, and driver and executors are one process (tests), a folder is made for it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewheel-checkpoint-"))
         named = sc.getCheckpointDir()
     return named
@@ -42,3 +44,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(to)
     sc._tidewheel_shipped = True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -81,6 +81,21 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last transition of every job as job_id, op, state, generation, wall_ns, seq, from the events themselves: entries
+    are only counted, so this is one partial aggregation and one shuffle on the key that it groups by.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e"), (F.count("*") - 1).alias("generation"))
+    op, to = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, (name, state) in EVENT_OPS.items():
+        op = F.when(F.col("e.event_type") == kind, name).otherwise(op)
+        to = F.when(F.col("e.event_type") == kind, state).otherwise(to)
+    return last.select(
+        job_key(F.col("user_id")).alias("job_id"), op.alias("op"), to.alias("state"), "generation", (micros(F.col("e.ts")) * 1000).alias("wall_ns"), F.col("e.event_id").alias("seq")
+    )
+
+
 def latest(log: DataFrame) -> DataFrame:
     """The last transition of every job: a partial aggregation, no window."""
     return log.groupBy("job_id").agg(F.max_by(F.struct("op", "to_state", "generation", "wall_ns", "seq"), "generation").alias("last")).select("job_id", "last.*")
@@ -117,7 +132,33 @@ def read_tree(spark: SparkSession, root: str, config: QueueConfig = CONFIG, glob
 def with_names(files: DataFrame, config: QueueConfig = CONFIG) -> DataFrame:
     files = files.withColumns(N.parse_path(F.col("relative_path")))
     files = N.with_parsed(files, "name", "bucket_hex", "shard_hex", config.queue_id, config.lease_bucket_width_ns)
-    return files.withColumn("state", F.when(~F.col("kind").isin("temp"), F.col("kind")))
+    placed = K.hex_field(K.shard(F.lit(config.queue_id), F.col("job_id"), config.shard_count), 4) == F.col("shard_hex")
+    return files.withColumns({"state": F.when(~F.col("kind").isin("temp"), F.col("kind")), "shard_ok": placed})
+
+
+def payload_reads(files: DataFrame, reads: DataFrame) -> DataFrame:
+    """Parts of payloads: rows (job_id, offset, size) of ``reads`` joined to stored objects, as job_id, offset, bytes.
+
+    An object's payload is verified against its header once, before it is cut; unsound objects give no bytes.
+    """
+    from tidewheel.functions import binary as B
+
+    sound = files.select("job_id", B.decode_job(F.col("content"), deep=True)["error"].isNull().alias("sound"), B.payload(F.col("content")).alias("payload")).filter("sound")
+    j = reads.join(sound, "job_id")
+    return j.select("job_id", "offset", F.substring(F.col("payload"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("bytes"))
+
+
+def export(files: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """(name, content) of dead objects (by job_id) or quarantined ones (by quarantine_id): raw bytes, to be written with ``write_tree``."""
+    key = "quarantine_id" if kind == "quarantine" else "job_id"
+    return files.filter(F.col("kind") == kind).join(ids.select(key).distinct(), key, "left_semi").select(key, F.col("name").alias("relative_path"), "content")
+
+
+def publish(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with ``new`` entries appended; an entry whose (job_id, generation) is there already isn't overwritten and comes back as refused."""
+    key = ["job_id", "generation"]
+    fresh = new.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("seq"))).join(log.select(*key).distinct().withColumn("_there", F.lit(True)), key, "left")
+    return fresh.withColumn("refused", F.col("_there").isNotNull() | (F.col("_n") > 1)).drop("_n", "_there")
 
 
 def write_tree(objects: DataFrame, root: str) -> None:
