@@ -10,8 +10,8 @@ from tidewheel.functions import kernels as K
 from tidewheel.functions import names as N
 from tidewheel.operators import audit, lookup, records, stats, tickets
 from tidewheel.operators import transitions as X
-from tidewheel.plans.queries import _BASE, _FINDING, _SHARD_HEX, ATTEMPTS, HOUR, JOBS, LOG, RECEIPTS, WIDTH, _domain, _extension, _files, _hex_sql, _queue, _receipts, _tag_sql, query
-from tidewheel.schema import DEAD_REASONS, HASH_DOMAIN, TICKET_SCHEMA, QueueConfig
+from tidewheel.plans.queries import _BASE, _BOOT, _FINDING, _SHARD_HEX, ATTEMPTS, HOUR, JOBS, LOG, RECEIPTS, WIDTH, _extension, _files, _hex_sql, _queue, _receipts, _tag_sql, query
+from tidewheel.schema import TICKET_SCHEMA
 from tidewheel.sources import tables as S
 from tidewheel.sources.tables import BOOT_ID, CONFIG, NOW_NS
 
@@ -19,10 +19,6 @@ LEASE_WIDTH = CONFIG.lease_bucket_width_ns
 DASHED = "-".join((BOOT_ID[:8], BOOT_ID[8:12], BOOT_ID[12:16], BOOT_ID[16:20], BOOT_ID[20:]))
 
 
-def _sql_list(xs) -> str:
-    return ", ".join(f"'{x}'" for x in xs)
-
-
 # -- names
 
 
@@ -48,7 +44,6 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COMMON = "CAST({g} AS BIGINT) AS generation, CAST({a} AS BIGINT) AS attempt, maximum_attempts"
-_NONE = "CAST(NULL AS {t})"
 
 
 def _parsed_sql(kind: str, g=None, a=None, not_before="NULL", token="NULL", reason="NULL", wall="NULL", named=True) -> str:
@@ -66,10 +61,6 @@ def parse_all_names(spark, d):
     return p.select("made", "kind", "job_id", big("generation"), "attempt", "maximum_attempts", big("not_before_ns"), big("wall_deadline_ns"), "token", "reason", "tag_ok")
 
 
-def _lease_sql(digits: str) -> str:
-    return f"CAST(not_before_ns // {digits} AS BIGINT)"
-
-
 _LEASED = f"job_id || '.g0000000000000001.a00000001.m' || {_hex_sql('maximum_attempts', 8)} || '.o{BOOT_ID}.b' || {_hex_sql('not_before_ns', 16)} || '.w' || {_hex_sql('not_before_ns + 4096', 16)} || '.t' || md5(job_id)"
 _RCT = f"job_id || '.g0000000000000002.a00000001.m' || {_hex_sql('maximum_attempts', 8)} || '.t' || md5(job_id)"
 
@@ -453,6 +444,13 @@ def broken_invariants(spark, d):
     return audit.broken_invariants(a)
 
 
+@query(f"""WITH {ATTEMPTS} SELECT job_id, attempt, boot_id <> '{_BOOT}' AS other_boot FROM attempts WHERE boot_id <> '{_BOOT}' OR deadline_ns <= {NOW_NS}""")
+def lease_expired_by_bucket(spark, d):
+    """As lease_expired, with the lease's bucket in the predicate, by which partitions are pruned."""
+    a = S.attempts(spark, d).withColumn("bucket", F.expr(f"deadline_ns div {LEASE_WIDTH}"))
+    return a.filter(X.expired(NOW_NS, _BOOT, CONFIG)).select("job_id", "attempt", (F.col("boot_id") != _BOOT).alias("other_boot"))
+
+
 # -- aggregations
 
 
