@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import over_batches
 
 #: Longest run of bytes that one merge loop gets, longest text that is encoded whole.
-LEAF_BYTES, TEXT_LEAF = 256, 512
+LEAF_BYTES, TEXT_LEAF = 256, 1024
 #: Bytes of remembered words in each Python worker, about; longest word remembered.
 MEMO_BYTES, MEMO_WORD = 96 << 20, 64
-#: Characters from the start of a word that splitting looks at, and words on each side of a window at first.
-LOOK, WINDOW = 3, 4
+#: Characters from the start of a word that splitting looks at; words, and tokens, on each side of a window at first.
+LOOK, WINDOW, TOKENS = 3, 2, 4
 
 #: A word of a text: itself, number of ids, ids in decimal, tokens.
 Piece = tuple[str, int, str, str]
@@ -153,7 +153,7 @@ class BpeCodec:
 
     def _join(self, word: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """The encoding of word[a:b] from those of word[a:m] and word[m:b]."""
-        is_end, k = b == len(word), WINDOW
+        is_end, k = b == len(word), TOKENS
         self.joins["word"] += 1
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
@@ -206,8 +206,11 @@ class BpeCodec:
         cuts = sorted({n * k // parts for k in range(parts + 1)})
         spans = list(zip(cuts, cuts[1:], strict=False))
         words = [split(text[a:b]) for a, b in spans]
-        each = iter(self._encoded([w for leaf in words for w in leaf]))
-        nodes = [[next(each) for _ in leaf] for leaf in words]
+        flat = self._encoded([w for leaf in words for w in leaf] if len(words) > 1 else words[0] if words else [])
+        nodes, at_ = [], 0
+        for leaf in words:
+            nodes.append(flat[at_ : at_ + len(leaf)])
+            at_ += len(leaf)
         while len(nodes) > 1:
             joined, at = [], []
             for k in range(0, len(nodes) - 1, 2):
