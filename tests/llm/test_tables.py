@@ -90,6 +90,30 @@ def test_sharding(spark, make, odd):
     assert len(by) == 16 and all(abs(r["b"] - mean) < 0.05 * mean for r in by)
 
 
+def test_equal_rows_and_groups(make):
+    """Rows that are the same in every column are spread like any others; small groups of equal texts keep together."""
+    rows = [(7, "the same row again and again")] * 3000 + [(100 + k, f"text {k} of its own") for k in range(3000)]
+    rows += [(5000 + k, f"group {k // 20}") for k in range(600)]
+    got = sharding.shard(make(rows)).collect()
+    size, where = Counter(), defaultdict(set)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        where[r["text_crc32"]].add(r["shard"])
+    assert len(size) == 16 and max(size.values()) < 1.15 * sum(size.values()) / 16
+    assert all(len(where[zlib.crc32(f"group {k}".encode())]) == 1 for k in range(30))
+    assert sorted(r["slot"] for r in got if r["shard"] == 3) == list(range(sum(r["shard"] == 3 for r in got)))
+
+
+def test_a_long_conversation_is_many_groups(spark):
+    """One conversation with most turns: its parts are joined, ordered and rendered apart."""
+    rows = [(1, k, ("ann", "bob", "cy")[k % 3], f"turn {k}") for k in range(3000)] + [(2, k, "ann", "hi") for k in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.rotate(df, part_turns=100).filter("conv_id = 1 and speaker = 'bob'").orderBy("part").collect()
+    assert [r["n_turns"] for r in got] == [100] * 30
+    whole = chat.rotate(df, part_turns=10_000).filter("conv_id = 1 and speaker = 'bob'").first()
+    assert "".join(r["rendered"] for r in got) == whole["rendered"] and "".join(r["turn_mask"] for r in got) == whole["turn_mask"]
+
+
 def test_write_shards(make, odd, tmp_path):
     docs = make(odd, extra=False)
     sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
