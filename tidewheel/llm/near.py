@@ -7,11 +7,14 @@ bits; every candidate is confirmed on the sets, so nothing below four fifths lin
 * Keys: in an order of shingles that all texts share, sets of a similarity t have a common shingle among the
   first n - ceil(t n) + 1 of each.  The order puts shingles that are common in a sample last, which
   only serves speed.
-* Fingerprints: SimHash of the distinct shingles.  A bit differs with a chance of 0.15 to 0.19 at four fifths.
+* Fingerprints: SimHash of the distinct shingles, 128 bits in two words.  A bit differs with a chance of 0.15 to 0.19 at four
+  fifths, so ``RADIUS`` is over four standard deviations above; of unrelated texts one pair in some thousands is as near.
+* Sketches: the least shingle of each of ``BINS`` bins, a byte each, estimate the similarity of candidates; pairs that are ``SIGMAS`` standard
+  deviations below four fifths aren't confirmed.
 * Groups: a few keys of every class name a leader first, and classes that are confirmed against
   it join its component.  After that only pairs of different components are compared.  A class sends no more than a
   few candidates in another component, chosen by hash; while some had more, it goes round again with four times as many,
-  over what the components are by then.  So no group lists all its pairs, and no pair that could still join two components is left out.
+  over what the components are by then; pairs that have been looked at aren't again.  So no group lists all its pairs, and no pair that could still join two components is left out.
 * Keys travel packed, by segment of the hash space; a key of more than ``HOT`` classes is cut into blocks that are compared two by two.
 
 Null texts count as empty; texts without words are one class.  Repeated rows give repeated rows.
@@ -33,13 +36,15 @@ from tidewheel.llm.components import connected_components
 from tidewheel.llm.simhash import bit_planes, within
 
 #: Distance of fingerprints up to which pairs are confirmed.
-RADIUS = 26
+RADIUS = 44
 #: Documents whose shingles are counted, and common shingles kept at most.
 SAMPLE, COMMON = 4096, 200_000
 #: Keys that name a leader for a class; candidates of a class in another component, at first.
 FEW, CANDIDATES = 4, 4
 #: Keys of a segment; classes of a key up to which they are compared in one place; of a bucket up to which they are compared one by one.
-SEGMENT_KEYS, HOT, SMALL = 1 << 19, 1 << 18, 12
+SEGMENT_KEYS, HOT, SMALL = 1 << 18, 1 << 18, 12
+#: Bins of a sketch, and standard deviations of its estimate that a pair may be below.
+BINS, SIGMAS = 256, 4.5
 #: Bits of a portion of the filter of texts whose sets are needed, and portions at most (64 MB).
 FILTER_BITS, FILTERS = 1 << 20, 512
 
@@ -59,9 +64,22 @@ def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter([xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(starts, ends[words - 1 :], strict=True)], np.uint64))
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    ones = np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(s)).tobytes(), "big")
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits: the SimHash of the shingles' hashes, and that of what another mixing makes of them."""
+    again = (s ^ (s >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    again = again ^ (again >> np.uint64(29))
+    both = np.stack([s, again], axis=1).astype(">u8").view(np.uint8).reshape(len(s), 16)
+    ones = np.unpackbits(both, axis=1).sum(axis=0, dtype=np.int64)
+    bits = np.packbits(ones * 2 > len(s)).tobytes()
+    return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big")
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """For each bin of the shingles' hashes a byte of the least one in it, 0 for none."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique((s % np.uint64(BINS)).astype(np.int64), return_index=True)  # hashes are in order
+    out[bins] = (s[first] // np.uint64(BINS) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -106,7 +124,7 @@ def _prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(id, t, h, fp, size, few, keys) of every row (id, text); t is the text's hash and h that of its set."""
+    """(id, t, h, fp, fq, size, few, keys, sk) of every row (id, text); t is the text's hash and h that of its set."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
     def few(keys: np.ndarray) -> np.ndarray:
@@ -117,16 +135,17 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
         longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
         for batch in batches:
             sets = [shingle_set(x.as_py(), words) for x in batch.column(2)]
-            h, fp = (pa.array(np.array([f(s) for s in sets], np.uint64).view(np.int64)) for f in (_set_id, _fingerprint))
+            words_ = [(_set_id(s), *_fingerprint(s)) for s in sets]
+            h, fp, fq = (pa.array(x) for x in np.array(words_, np.uint64).reshape(-1, 3).T.copy().view(np.int64))
             keys = [_prefix(s, common.value) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), h, fp, pa.array([len(s) for s in sets], pa.int64()), longs(map(few, keys)), longs(keys)],
-                names=["id", "t", "h", "fp", "size", "few", "keys"],
+                [batch.column(0), batch.column(1), h, fp, fq, pa.array([len(s) for s in sets], pa.int64()), longs(map(few, keys)), longs(keys), pa.array(map(_sketch, sets), pa.binary())],
+                names=["id", "t", "h", "fp", "fq", "size", "few", "keys", "sk"],
             )
 
     rows = docs.select("id", F.xxhash64(utf8()).alias("t"), utf8().alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    return over_batches(rows, run, f"id {id_type}, t long, h long, fp long, size long, few array<bigint>, keys array<bigint>")
+    return over_batches(rows, run, f"id {id_type}, t long, h long, fp long, fq long, size long, few array<bigint>, keys array<bigint>, sk binary")
 
 
 def _filter(t: DataFrame) -> dict[int, np.ndarray]:
@@ -163,6 +182,25 @@ def _may_have(filters: dict, t: np.ndarray) -> np.ndarray:
     return out
 
 
+def _half(s: np.ndarray) -> np.ndarray:
+    """The set by 32 bits of each hash, which is enough to compare two texts."""
+    return np.unique(s.astype(np.uint32))
+
+
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches don't rule out four fifths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            both, either = ((a == b) & (a > 0)).sum(axis=1), np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+            yield batch.select([0, 1]).filter(pa.array(both / either >= 0.8 - SIGMAS * np.sqrt(0.16 / either)))
+
+    two = pairs.join(classes.select(F.col("h").alias("u"), F.col("sk").alias("a")), "u")
+    two = two.join(classes.select(F.col("h").alias("v"), F.col("sk").alias("b")), "v")
+    return over_batches(two.select("u", "v", "a", "b"), run, "u long, v long")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs (u, v) whose sets share four fifths of their shingles.
 
@@ -175,14 +213,14 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.filter(pa.array(_may_have(filters.value, batch.column(0).to_numpy())))
-            s = pa.array([shingle_set(x.as_py(), words).tobytes() for x in some.column(1)], pa.binary())
+            s = pa.array([_half(shingle_set(x.as_py(), words)).tobytes() for x in some.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([some.column(0), s], names=["t", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                a, b = (np.frombuffer(x.as_buffer(), np.uint32) for x in (a, b))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(5 * both >= 4 * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -200,9 +238,9 @@ def _alike_in_size(a: str, b: str) -> Column:
 
 def _stars(classes: DataFrame) -> DataFrame:
     """(u, v): a class and the most similar of the leaders that its few keys name."""
-    few = classes.select(F.explode("few").alias("k"), "h", "fp", "size")
-    leader = few.groupBy("k").agg(F.min(F.struct(F.xxhash64("h").alias("draw"), "h", "fp", "size")).alias("l"), F.count("*").alias("n"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp")))
+    few = classes.select(F.explode("few").alias("k"), "h", "fp", "fq", "size")
+    leader = few.groupBy("k").agg(F.min(F.struct(F.xxhash64("h").alias("draw"), "h", "fp", "fq", "size")).alias("l"), F.count("*").alias("n"))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) + F.bit_count(F.col("fq").bitwiseXOR(F.col("l.fq")))
     star = few.join(leader.filter("n > 1"), "k").filter((F.col("h") != F.col("l.h")) & _alike_in_size("size", "l.size") & (far <= RADIUS))
     star = star.groupBy("h").agg(F.min(F.struct(far.alias("d"), F.col("l.h").alias("l"))).alias("best"))
     return star.select(F.least("h", "best.l").alias("u"), F.greatest("h", "best.l").alias("v")).distinct()
@@ -212,7 +250,7 @@ def _stars(classes: DataFrame) -> DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], segments: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, fp, size, root, keys) -> (segment, rows (k, h, fp, size, root) packed)."""
+    """Rows (h, fp, fq, size, root, keys) -> (segment, rows (k, h, fp, fq, size, root) packed)."""
     held: list[np.ndarray] = []
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -227,12 +265,12 @@ def _packed(batches: Iterator[pa.RecordBatch], segments: int, hot: dict[int, int
 
     hot_keys = np.array(sorted(hot), np.int64)
     for batch in batches:
-        ends = batch.column(4).offsets.to_numpy()
-        k = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        ends = batch.column(5).offsets.to_numpy()
+        k = batch.column(5).flatten().to_numpy(zero_copy_only=False)
         if not len(k):
             continue
         each = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-        rows = np.stack([k, *(batch.column(i).to_numpy()[each] for i in range(4))], axis=1)
+        rows = np.stack([k, *(batch.column(i).to_numpy()[each] for i in range(5))], axis=1)
         is_hot = np.isin(k, hot_keys)
         held.append(rows[~is_hot])
         for key in np.unique(k[is_hot]).tolist():  # blocks of a hot key meet two by two
@@ -258,9 +296,9 @@ def _hot_keys(classes: DataFrame, total: int) -> dict[int, int]:
 
 
 def _bucket_pairs(rows: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, bool]:
-    """Candidates (h, h) of different roots in the buckets of these rows (k, h, fp, size, root), and if some had more."""
+    """Candidates (h, h) of different roots in the buckets of these rows (k, h, fp, fq, size, root), and if some had more."""
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    k, root = rows[:, 0], rows[:, 4]
+    k, root, words = rows[:, 0], rows[:, 5], np.ascontiguousarray(rows[:, 2:4]).view(np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(starts, len(k)))
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
@@ -268,16 +306,16 @@ def _bucket_pairs(rows: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, b
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         a, b = rows[i], rows[j]
-        ok = (a[:, 4] != b[:, 4]) & (5 * np.minimum(a[:, 3], b[:, 3]) >= 4 * np.maximum(a[:, 3], b[:, 3]))
+        ok = (a[:, 5] != b[:, 5]) & (5 * np.minimum(a[:, 4], b[:, 4]) >= 4 * np.maximum(a[:, 4], b[:, 4]))
         found.append(np.stack([i[ok], j[ok]], axis=1))
 
     small = np.repeat(mixed & (sizes <= SMALL), sizes)
     for d in range(1, SMALL):
         i = np.flatnonzero(small[:-d] & (k[d:] == k[:-d])) if len(k) > d else np.zeros(0, np.int64)
-        i = i[np.bitwise_count((rows[i, 2] ^ rows[i + d, 2]).view(np.uint64)) <= RADIUS]
+        i = i[np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1) <= RADIUS]
         keep(i, i + d)
     for a, n in zip(starts[mixed & (sizes > SMALL)].tolist(), sizes[mixed & (sizes > SMALL)].tolist(), strict=True):
-        f = rows[a : a + n, 2].view(np.uint64)
+        f = words[a : a + n]
         for block in range(0, n, 4096):
             planes = bit_planes(f[block : block + 4096])
             for at in range(0, min(n, block + 4096), 256):
@@ -290,7 +328,7 @@ def _bucket_pairs(rows: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, b
     # of each class's candidates in another component only some, by hash
     u, v = rows[pairs[:, 0]], rows[pairs[:, 1]]
     h = np.concatenate([u[:, 1], v[:, 1]])
-    other = np.concatenate([v[:, 4], u[:, 4]])
+    other = np.concatenate([v[:, 5], u[:, 5]])
     mate = np.concatenate([v[:, 1], u[:, 1]])
     draw = ((h ^ mate).view(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
     draw = draw ^ (draw >> np.uint64(32))
@@ -311,7 +349,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int, salt: int) -> Iterator[
     now, held = None, []
 
     def out() -> pa.RecordBatch:
-        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in held]) if held else np.zeros((0, 5), np.int64)
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 6) for x in held]) if held else np.zeros((0, 6), np.int64)
         pairs, more = _bucket_pairs(rows, most, salt) if len(rows) else (np.zeros((0, 2), np.int64), False)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), more))], names=["u", "v", "more"])
 
@@ -330,24 +368,26 @@ def jaccard_components(docs: DataFrame, *, words: int = 5) -> DataFrame:
     that are linked by a Jaccard similarity of 0.8 or more; equal roots are one component.
     """
     rows = cut(_profiles(docs, words))
-    one = rows.groupBy("h").agg(*[F.first(c).alias(c) for c in ("fp", "size", "few", "keys")], F.min("t").alias("t"))
+    one = rows.groupBy("h").agg(*[F.first(c).alias(c) for c in ("fp", "fq", "size", "few", "keys", "sk")], F.min("t").alias("t"))
     classes = cut(one)
-    links = cut(_confirmed(cut(_stars(classes)), classes, docs, words))
+    links = cut(_confirmed(cut(_likely(_stars(classes), classes)), classes, docs, words))
     total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
     hot, segments = _hot_keys(classes, total), max(1, -(-total // SEGMENT_KEYS))
-    most, salt = CANDIDATES, 0
+    most, salt, tried = CANDIDATES, 0, None
     while True:
         roots = connected_components(links).withColumnRenamed("node", "h")
-        rooted = classes.join(roots, "h", "left").select("h", "fp", "size", F.coalesce("root", "h").alias("root"), "keys")
+        rooted = classes.join(roots, "h", "left").select("h", "fp", "fq", "size", F.coalesce("root", "h").alias("root"), "keys")
         packed = over_batches(rooted, lambda it: _packed(it, segments, hot), "seg long, rows binary")
         parts = packed.repartition(segments, "seg").sortWithinPartitions("seg")
         found = over_batches(parts, lambda it, most=most, salt=salt: _pairs(it, most, salt), "u long, v long, more boolean")
         found = cut(found.groupBy("u", "v").agg(F.max("more").alias("more")))
-        if found.isEmpty():
-            break
-        links = cut(links.union(_confirmed(found.select("u", "v"), classes, docs, words)))
+        new = found.select("u", "v") if tried is None else found.select("u", "v").join(tried, ["u", "v"], "left_anti")
+        likely = cut(_likely(new, classes))
+        if not likely.isEmpty():
+            links = cut(links.union(_confirmed(likely, classes, docs, words)))
         if found.filter("more").isEmpty():
             break
+        tried = found.select("u", "v") if tried is None else cut(tried.union(found.select("u", "v")).distinct())
         most, salt = 4 * most, salt + 1
     roots = connected_components(links).withColumnRenamed("node", "h")
     return rows.select("id", "h").join(roots, "h", "left").select("id", "h", F.coalesce("root", "h").alias("root"))

@@ -74,22 +74,23 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit b of 64 fingerprints in each word of plane b."""
-    lanes = -(-len(fps) // 64) * 64
-    bits = np.zeros((lanes, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    """(bits, words): bit b of 64 fingerprints in each word of plane b.  Fingerprints have 64 bits, or 64 for each column."""
+    lanes, wide = -(-len(fps) // 64) * 64, fps[:, None] if fps.ndim == 1 else fps
+    bits = np.zeros((lanes, 64 * wide.shape[1]), np.uint8)
+    bits[: len(fps)] = np.unpackbits(np.ascontiguousarray(wide).astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def within(queries: np.ndarray, planes: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(query index, lane) of every distance of ``radius`` or less; ``n`` lanes are in use."""
     digits = (radius + 1).bit_length()
+    queries = queries[:, None] if queries.ndim == 1 else queries
     shape = (len(queries), planes.shape[1])
     counter = [np.zeros(shape, np.uint64) for _ in range(digits)]
     over = np.zeros(shape, np.uint64)
     everywhere = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(64):
-        ask = (queries >> np.uint64(63 - b)) & np.uint64(1)
+    for b in range(len(planes)):
+        ask = (queries[:, b // 64] >> np.uint64(63 - b % 64)) & np.uint64(1)
         carry = planes[b][None, :] ^ (np.uint64(0) - ask)[:, None]
         for d in range(digits):  # add one bit to all counters of the block
             carry, counter[d] = counter[d] & carry, counter[d] ^ carry
