@@ -18,7 +18,7 @@ is the encoding of its text if and only if each two neighbours are the encoding
 theirs; both sides and the window have that property and they share a token at each
 end, so the joined sequence is exact.
 
-Words are remembered, up to ``MEMO_BYTES`` in each Python worker; long ones aren't.
+Words are remembered during a task, up to ``MEMO_BYTES``; long ones aren't.
 
 Null and empty texts have no tokens.  Repeated rows give repeated rows; only ``doc_id``
 and ``text`` are read, so other columns may have any name.
@@ -42,8 +42,8 @@ from tidewheel.llm.common import over_batches
 
 #: Longest run of bytes that one merge loop gets, longest text that is encoded whole.
 LEAF_BYTES, TEXT_LEAF = 256, 1024
-#: Bytes of remembered words in each Python worker, about; longest word remembered.
-MEMO_BYTES, MEMO_WORD = 96 << 20, 64
+#: Bytes of remembered words in a task, about; longest word remembered.
+MEMO_BYTES, MEMO_WORD = 48 << 20, 64
 #: Characters from the start of a word that splitting looks at; words, and tokens, on each side of a window at first.
 LOOK, WINDOW, TOKENS = 3, 2, 4
 
@@ -267,17 +267,6 @@ class BpeCodec:
         return " ".join([self.tokens[i] for i in ids])
 
 
-_codecs: dict[tuple[str, int], BpeCodec] = {}
-
-
-def _codec(vocabulary: str, leaf: int) -> BpeCodec:
-    """One codec for each vocabulary and Python worker."""
-    key = (hashlib.sha256(vocabulary.encode()).hexdigest(), leaf)
-    if key not in _codecs:
-        _codecs[key] = BpeCodec(vocabulary, leaf)
-    return _codecs[key]
-
-
 def bpe_encode(docs: DataFrame, vocabulary_path: str, *, with_ids: bool = False, leaf: int = LEAF_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every document.
 
@@ -289,7 +278,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, *, with_ids: bool = False,
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary.value, leaf)
+        codec = BpeCodec(vocabulary.value, leaf)  # a fifth of a second; workers live on for other stages' tasks, so nothing is kept
         for batch in batches:
             rows: list[tuple] = []
             held = start = 0
@@ -306,7 +295,6 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, *, with_ids: bool = False,
                         arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[3]))))
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays)])
                     rows, held, start = [], 0, at
-        codec.forget()  # other stages' tasks run in the same worker
 
     return over_batches(
         docs.select(F.col("doc_id").cast("long"), F.col("text")), run, schema + (", ids array<int>" if with_ids else "")
