@@ -49,7 +49,7 @@ def edited(rows, rnd):
     return rows
 
 
-@pytest.mark.parametrize("bounds", [{}, {"HOT": 8, "SMALL": 3, "SEGMENT_KEYS": 500}, {"CANDIDATES": 1, "FEW": 0}])
+@pytest.mark.parametrize("bounds", [{}, {"HOT": 8, "SMALL": 3, "SEGMENT_KEYS": 500}, {"CANDIDATES": 1, "FEW": 0}, {"CANDIDATES": 1, "FEW": 0, "HELD": 5}])
 def test_components_match_brute_jaccard(make, odd, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(sys.modules["tidewheel.llm.near"], name, value)

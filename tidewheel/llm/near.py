@@ -45,6 +45,8 @@ FEW, CANDIDATES = 4, 4
 SEGMENT_KEYS, HOT, SMALL = 1 << 18, 1 << 18, 12
 #: Bins of a sketch, and standard deviations of its estimate that a pair may be below.
 BINS, SIGMAS = 256, 4.5
+#: Candidates that a task holds at once.
+HELD = 1 << 19
 #: Bits of a portion of the filter of texts whose sets are needed, and portions at most (64 MB).
 FILTER_BITS, FILTERS = 1 << 20, 512
 
@@ -303,11 +305,16 @@ def _bucket_pairs(rows: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, b
     sizes = np.diff(np.append(starts, len(k)))
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     found: list[np.ndarray] = []
+    more = False
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal more
         a, b = rows[i], rows[j]
         ok = (a[:, 5] != b[:, 5]) & (5 * np.minimum(a[:, 4], b[:, 4]) >= 4 * np.maximum(a[:, 4], b[:, 4]))
         found.append(np.stack([i[ok], j[ok]], axis=1))
+        if sum(map(len, found)) > HELD:  # bounds what a task holds: the least draws of all are among the least of a part
+            some, cut_ = _drawn(rows, np.concatenate(found), most, salt)
+            found[:], more = [some], more or cut_
 
     small = np.repeat(mixed & (sizes <= SMALL), sizes)
     for d in range(1, SMALL):
@@ -322,26 +329,29 @@ def _bucket_pairs(rows: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, b
                 i, j = within(f[at : at + 256], planes, min(4096, n - block), RADIUS)
                 i, j = i + at + a, j + block + a
                 keep(i[i < j], j[i < j])
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    if not len(pairs):
-        return np.zeros((0, 2), np.int64), False
-    # of each class's candidates in another component only some, by hash
-    u, v = rows[pairs[:, 0]], rows[pairs[:, 1]]
-    h = np.concatenate([u[:, 1], v[:, 1]])
-    other = np.concatenate([v[:, 5], u[:, 5]])
-    mate = np.concatenate([v[:, 1], u[:, 1]])
-    draw = ((h ^ mate).view(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    pairs, cut_ = _drawn(rows, np.concatenate(found) if found else np.zeros((0, 2), np.int64), most, salt)
+    return np.unique(np.sort(rows[pairs, 1], axis=1), axis=0), more or cut_
+
+
+def _drawn(rows: np.ndarray, pairs: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, bool]:
+    """Of these pairs of rows, for each class and other component the ``most`` that a hash draws first, and if there were more.
+
+    A pair stays if either side draws it.
+    """
+    h, root = rows[:, 1], rows[:, 5]
+    draw = ((h[pairs[:, 0]] ^ h[pairs[:, 1]]).view(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
     draw = draw ^ (draw >> np.uint64(32))
-    both = np.stack([np.minimum(h, mate), np.maximum(h, mate)], axis=1)
-    order = np.lexsort((draw, other, h))
-    h, other, mate, both = h[order], other[order], mate[order], both[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1]) | (mate[1:] != mate[:-1])])
-    h, other, both = h[new], other[new], both[new]
-    first = np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])])
-    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    # a pair goes if either side sends it; it is lost for now only if neither does
-    sent = np.unique(both[nth < most], axis=0)
-    return sent, len(sent) < len(np.unique(both, axis=0))
+    _, one = np.unique(np.sort(h[pairs], axis=1), axis=0, return_index=True)  # a pair that meets under several keys is one
+    pairs, draw = pairs[one], draw[one]
+    stays = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        mine, other = h[pairs[:, side]], root[pairs[:, 1 - side]]
+        order = np.lexsort((draw, other, mine))
+        m, o = mine[order], other[order]
+        first = np.concatenate([[True], (m[1:] != m[:-1]) | (o[1:] != o[:-1])]) if len(m) else np.zeros(0, bool)
+        nth = np.arange(len(m)) - np.maximum.accumulate(np.where(first, np.arange(len(m)), 0)) if len(m) else m
+        stays[order[nth < most]] = True
+    return pairs[stays], not stays.all()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], most: int, salt: int) -> Iterator[pa.RecordBatch]:
