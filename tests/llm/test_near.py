@@ -77,3 +77,36 @@ def test_rows_not_ids_decide(spark):
     assert got.columns == df.columns
     assert sorted((r["doc_id"], r["_stay"]) for r in got.collect() if r["doc_id"] is not None) == [(0, "a"), (1, "c")]
     assert [r["_stay"] for r in got.filter("doc_id is null").collect()] == ["e"]
+
+
+def alike(n, rnd):
+    """A group of texts of which every two share a good half of their shingles, and few four fifths."""
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(150)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rnd.randint(2, 6)):
+            w[rnd.randrange(len(w))] = f"edit{rnd.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("bounds", [{}, {"MEMBERS": 40, "HELD": 500}, {"SHINGLES": 5000, "CANDIDATES": 16, "LANES": 64}])
+def test_a_group_that_is_alike_lists_no_pairs(make, monkeypatch, bounds):
+    near = sys.modules["tidewheel.llm.near"]
+    made, real = [], near.over_batches
+
+    def counted(df, f, schema):
+        out = near.cut(real(df, f, schema))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "over_batches", counted)
+    for name, value in bounds.items():
+        monkeypatch.setattr(near, name, value)
+    rows = alike(400, random.Random(6))
+    got = sorted(((r["doc_id"], r["component_id"]) for r in near_components(make(rows)).collect()), key=repr)
+    assert got == brute(rows)
+    blocks = 1 if not bounds else 16
+    # the first counts shingles; a group of 400 has 79800 pairs
+    assert len(rows) <= max(made[1:]) <= blocks * len(rows)

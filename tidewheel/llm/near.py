@@ -1,20 +1,20 @@
 """Near copies by exact Jaccard similarity of shingle sets, with bit-sliced SimHash as the candidate search.
 
 Texts with the same set of shingles are one class.  Two classes link if they share at least four
-fifths of their shingles (Jaccard).  Candidates share a key and have fingerprints within ``RADIUS``
-bits; every candidate is confirmed on the sets, so nothing below four fifths links.
+fifths of their shingles (Jaccard).  Classes that might link are gathered into families, and a family's members
+are compared on their sets, so nothing below four fifths links.
 
 * Keys: in an order of shingles that all texts share, sets of a similarity t have a common shingle among the
   first n - ceil(t n) + 1 of each.  The order puts shingles that are common in a sample last, which
   only serves speed.
 * Fingerprints: SimHash of the distinct shingles, 128 bits in two words.  A bit differs with a chance of 0.15 to 0.19 at four
   fifths, so ``RADIUS`` is over four standard deviations above; of unrelated texts one pair in some thousands is as near.
-* Sketches: the least shingle of each of ``BINS`` bins, a byte each, estimate the similarity of candidates; pairs that are ``SIGMAS`` standard
-  deviations below four fifths aren't confirmed.
-* Groups: a few keys of every class name a leader first, and classes that are confirmed against
-  it join its component.  After that only pairs of different components are compared.  A class sends no more than a
-  few candidates in another component, chosen by hash; while some had more, it goes round again with four times as many,
-  over what the components are by then; pairs that have been looked at aren't again.  So no group lists all its pairs, and no pair that could still join two components is left out.
+* Min-wise bits: a bit of the least of the set's hashes, under 64 ``WORDS`` hash functions.  A bit differs with a chance of 0.1 at four fifths;
+  ``APART`` is five standard deviations above and rules out most pairs below 0.6.
+* Families: components of the classes that share a key and are near by both.  A task of the search gives only links that span the components of its
+  buckets, so no pairs of a group are listed.  A few keys of every class go first; then all keys, with what the few have joined as one node.
+  Within a bucket, members of its largest component are never compared with each other.
+* Sets: a family's sets meet in one place, or in blocks two by two; rarest shingles first, prefixes give the pairs that are counted out exactly.
 * Keys travel packed, by segment of the hash space; a key of more than ``HOT`` classes is cut into blocks that are compared two by two.
 
 Null texts count as empty; texts without words are one class.  Repeated rows give repeated rows.
@@ -35,21 +35,21 @@ from tidewheel.llm.common import cut, over_batches, utf8
 from tidewheel.llm.components import connected_components
 from tidewheel.llm.simhash import bit_planes, within
 
-#: Distance of fingerprints up to which pairs are confirmed.
-RADIUS = 44
+#: Distance of fingerprints up to which classes are one family; words of min-wise bits, and how many bits may differ.
+RADIUS, WORDS, APART = 44, 3, 40
 #: Documents whose shingles are counted, and common shingles kept at most.
 SAMPLE, COMMON = 4096, 200_000
-#: Keys that name a leader for a class; candidates of a class in another component, at first.
-FEW, CANDIDATES = 4, 4
+#: Keys of a class that go first; classes of a bucket that look for candidates at once, and classes that they meet at once.
+FEW, CANDIDATES, LANES = 4, 256, 2048
 #: Keys of a segment; classes of a key up to which they are compared in one place; of a bucket up to which they are compared one by one.
 SEGMENT_KEYS, HOT, SMALL = 1 << 18, 1 << 18, 12
-#: Bins of a sketch, and standard deviations of its estimate that a pair may be below.
-BINS, SIGMAS = 256, 4.5
-#: Candidates that a task holds at once.
-HELD = 1 << 19
+#: Members and shingles of a family, or a block of one; shingles of candidates that are counted at once.
+MEMBERS, SHINGLES, HELD = 2048, 1 << 20, 1 << 19
 #: Bits of a portion of the filter of texts whose sets are needed, and portions at most (64 MB).
 FILTER_BITS, FILTERS = 1 << 20, 512
 
+_XOR, _FACTOR = np.random.default_rng(11).integers(0, 1 << 32, (2, 64 * WORDS), dtype=np.uint32) | np.uint32(1)
+
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     """The distinct shingles' hashes in order."""
@@ -76,12 +76,14 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(bits[:8], "big"), int.from_bytes(bits[8:], "big")
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """For each bin of the shingles' hashes a byte of the least one in it, 0 for none."""
-    out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique((s % np.uint64(BINS)).astype(np.int64), return_index=True)  # hashes are in order
-    out[bins] = (s[first] // np.uint64(BINS) % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
+def _minwise(s: np.ndarray) -> list[int]:
+    """``WORDS`` words of a bit each of the least shingle under a hash function."""
+    s, least = s.astype(np.uint32), np.full(64 * WORDS, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(s), 1024):
+        hashed = s[at : at + 1024, None] ^ _XOR
+        hashed *= _FACTOR
+        least = np.minimum(least, hashed.min(axis=0))
+    return np.packbits((least >> np.uint32(12)).astype(np.uint8) & 1).view(np.uint64).tolist()
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -125,29 +127,33 @@ def _prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return s[np.lexsort((s, rank))[: n - -(-4 * n // 5) + 1]]
 
 
+#: Columns of the bits that are compared.
+_BITS = ("fp", "fq", *(f"w{k}" for k in range(WORDS)))
+
+
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(id, t, h, fp, fq, size, few, keys, sk) of every row (id, text); t is the text's hash and h that of its set."""
+    """(id, t, h, fp, fq, w0 to w2, size, few, keys) of every row (id, text); t is the text's hash and h that of its set."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
-    def few(keys: np.ndarray) -> np.ndarray:
+    def few(keys: np.ndarray, most: int = FEW) -> np.ndarray:
         drawn = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return keys[np.argsort(drawn)[:FEW]]
+        return keys[np.argsort(drawn)[:most]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
         for batch in batches:
             sets = [shingle_set(x.as_py(), words) for x in batch.column(2)]
-            words_ = [(_set_id(s), *_fingerprint(s)) for s in sets]
-            h, fp, fq = (pa.array(x) for x in np.array(words_, np.uint64).reshape(-1, 3).T.copy().view(np.int64))
+            words_ = [(_set_id(s), *_fingerprint(s), *_minwise(s)) for s in sets]
+            words_ = [pa.array(x) for x in np.array(words_, np.uint64).reshape(-1, 3 + WORDS).T.copy().view(np.int64)]
             keys = [_prefix(s, common.value) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), h, fp, fq, pa.array([len(s) for s in sets], pa.int64()), longs(map(few, keys)), longs(keys), pa.array(map(_sketch, sets), pa.binary())],
-                names=["id", "t", "h", "fp", "fq", "size", "few", "keys", "sk"],
+                [batch.column(0), batch.column(1), *words_, pa.array([len(s) for s in sets], pa.int64()), longs(map(few, keys)), longs(keys)],
+                names=["id", "t", "h", *_BITS, "size", "few", "keys"],
             )
 
     rows = docs.select("id", F.xxhash64(utf8()).alias("t"), utf8().alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    return over_batches(rows, run, f"id {id_type}, t long, h long, fp long, fq long, size long, few array<bigint>, keys array<bigint>, sk binary")
+    return over_batches(rows, run, f"id {id_type}, t long, h long, {', '.join(f'{c} long' for c in _BITS)}, size long, few array<bigint>, keys array<bigint>")
 
 
 def _filter(t: DataFrame) -> dict[int, np.ndarray]:
@@ -189,70 +195,12 @@ def _half(s: np.ndarray) -> np.ndarray:
     return np.unique(s.astype(np.uint32))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sketches don't rule out four fifths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            both, either = ((a == b) & (a > 0)).sum(axis=1), np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
-            yield batch.select([0, 1]).filter(pa.array(both / either >= 0.8 - SIGMAS * np.sqrt(0.16 / either)))
-
-    two = pairs.join(classes.select(F.col("h").alias("u"), F.col("sk").alias("a")), "u")
-    two = two.join(classes.select(F.col("h").alias("v"), F.col("sk").alias("b")), "v")
-    return over_batches(two.select("u", "v", "a", "b"), run, "u long, v long")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) whose sets share four fifths of their shingles.
-
-    Only texts that a filter lets through are turned into sets again; nothing else of the documents moves.
-    """
-    need = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    need = cut(classes.select("h", "t").join(need, "h"))
-    filters = docs.sparkSession.sparkContext.broadcast(_filter(need.select("t")))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = batch.filter(pa.array(_may_have(filters.value, batch.column(0).to_numpy())))
-            s = pa.array([_half(shingle_set(x.as_py(), words)).tobytes() for x in some.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([some.column(0), s], names=["t", "s"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint32) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(5 * both >= 4 * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    found = over_batches(docs.select(F.xxhash64(utf8()).alias("t"), utf8().alias("text")), sets, "t long, s binary")
-    known = cut(found.dropDuplicates(["t"]).join(need, "t").select("h", "s"))
-    two = pairs.join(known.select(F.col("h").alias("u"), F.col("s").alias("a")), "u")
-    two = two.join(known.select(F.col("h").alias("v"), F.col("s").alias("b")), "v")
-    return over_batches(two.select("u", "v", "a", "b"), check, "u long, v long")
-
-
-def _alike_in_size(a: str, b: str) -> Column:
-    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
-
-
-def _stars(classes: DataFrame) -> DataFrame:
-    """(u, v): a class and the most similar of the leaders that its few keys name."""
-    few = classes.select(F.explode("few").alias("k"), "h", "fp", "fq", "size")
-    leader = few.groupBy("k").agg(F.min(F.struct(F.xxhash64("h").alias("draw"), "h", "fp", "fq", "size")).alias("l"), F.count("*").alias("n"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) + F.bit_count(F.col("fq").bitwiseXOR(F.col("l.fq")))
-    star = few.join(leader.filter("n > 1"), "k").filter((F.col("h") != F.col("l.h")) & _alike_in_size("size", "l.size") & (far <= RADIUS))
-    star = star.groupBy("h").agg(F.min(F.struct(far.alias("d"), F.col("l.h").alias("l"))).alias("best"))
-    return star.select(F.least("h", "best.l").alias("u"), F.greatest("h", "best.l").alias("v")).distinct()
-
-
-# -- all pairs of different components
+# -- families
 
 
 def _packed(batches: Iterator[pa.RecordBatch], segments: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, fp, fq, size, root, keys) -> (segment, rows (k, h, fp, fq, size, root) packed)."""
+    """Rows (root, bits, keys) -> (segment, rows (k, root, bits) packed)."""
+    wide = 1 + len(_BITS)
     held: list[np.ndarray] = []
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -267,23 +215,23 @@ def _packed(batches: Iterator[pa.RecordBatch], segments: int, hot: dict[int, int
 
     hot_keys = np.array(sorted(hot), np.int64)
     for batch in batches:
-        ends = batch.column(5).offsets.to_numpy()
-        k = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+        ends = batch.column(wide).offsets.to_numpy()
+        k = batch.column(wide).flatten().to_numpy(zero_copy_only=False)
         if not len(k):
             continue
         each = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-        rows = np.stack([k, *(batch.column(i).to_numpy()[each] for i in range(5))], axis=1)
+        rows = np.stack([k, *(batch.column(i).to_numpy()[each] for i in range(wide))], axis=1)
         is_hot = np.isin(k, hot_keys)
         held.append(rows[~is_hot])
         for key in np.unique(k[is_hot]).tolist():  # blocks of a hot key meet two by two
             mine, m = rows[k == key], -(-hot[key] // HOT)
-            block = ((mine[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(m)
+            block = (((mine[:, 2] ^ mine[:, 4]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(m)
             for other in range(m):
                 lo, hi = np.minimum(block, other), np.maximum(block, other)
                 copy = mine.copy()
                 copy[:, 0] = (np.uint64(key % (1 << 64)) + (lo * np.uint64(m) + hi + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
                 held.append(copy)
-        if sum(map(len, held)) >= 1 << 20:
+        if sum(map(len, held)) >= 1 << 19:
             yield from out()
     if held:
         yield from out()
@@ -297,71 +245,71 @@ def _hot_keys(classes: DataFrame, total: int) -> dict[int, int]:
     return {r["k"]: r["count"] for r in n.collect()}
 
 
-def _bucket_pairs(rows: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, bool]:
-    """Candidates (h, h) of different roots in the buckets of these rows (k, h, fp, fq, size, root), and if some had more."""
+def _ends(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where the pointers of ``x`` end."""
+    r = parent[x]
+    while (parent[r] != r).any():
+        r = parent[r]
+    parent[x] = r
+    return r
+
+
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    while len(a):
+        a, b = _ends(parent, a), _ends(parent, b)
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+
+
+def _bucket_forest(rows: np.ndarray, at_once: int, small: int) -> np.ndarray:
+    """Links (root, root) that span the components of the buckets of these rows (k, root, bits)."""
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    k, root, words = rows[:, 0], rows[:, 5], np.ascontiguousarray(rows[:, 2:4]).view(np.uint64)
+    k, words, wise = rows[:, 0], np.ascontiguousarray(rows[:, 2:4]).view(np.uint64), np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
+    roots, x = np.unique(rows[:, 1], return_inverse=True)
+    parent = np.arange(len(roots))
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(starts, len(k)))
-    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    found: list[np.ndarray] = []
-    more = False
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal more
-        a, b = rows[i], rows[j]
-        ok = (a[:, 5] != b[:, 5]) & (5 * np.minimum(a[:, 4], b[:, 4]) >= 4 * np.maximum(a[:, 4], b[:, 4]))
-        found.append(np.stack([i[ok], j[ok]], axis=1))
-        if sum(map(len, found)) > HELD:  # bounds what a task holds: the least draws of all are among the least of a part
-            some, cut_ = _drawn(rows, np.concatenate(found), most, salt)
-            found[:], more = [some], more or cut_
-
-    small = np.repeat(mixed & (sizes <= SMALL), sizes)
-    for d in range(1, SMALL):
-        i = np.flatnonzero(small[:-d] & (k[d:] == k[:-d])) if len(k) > d else np.zeros(0, np.int64)
+    mixed = np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts)
+
+    def near(i: np.ndarray, j: np.ndarray) -> None:
+        ok = np.bitwise_count(wise[i] ^ wise[j]).sum(axis=1) <= APART
+        _join(parent, x[i[ok]], x[j[ok]])
+
+    some = np.flatnonzero(np.repeat(mixed & (sizes <= small), sizes))
+    for d in range(1, small):
+        i = some[some < len(k) - d]
+        i = i[(k[i] == k[i + d]) & (x[i] != x[i + d])]
         i = i[np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1) <= RADIUS]
-        keep(i, i + d)
-    for a, n in zip(starts[mixed & (sizes > SMALL)].tolist(), sizes[mixed & (sizes > SMALL)].tolist(), strict=True):
-        f = words[a : a + n]
-        for block in range(0, n, 4096):
-            planes = bit_planes(f[block : block + 4096])
-            for at in range(0, min(n, block + 4096), 256):
-                i, j = within(f[at : at + 256], planes, min(4096, n - block), RADIUS)
-                i, j = i + at + a, j + block + a
-                keep(i[i < j], j[i < j])
-    pairs, cut_ = _drawn(rows, np.concatenate(found) if found else np.zeros((0, 2), np.int64), most, salt)
-    return np.unique(np.sort(rows[pairs, 1], axis=1), axis=0), more or cut_
-
-
-def _drawn(rows: np.ndarray, pairs: np.ndarray, most: int, salt: int) -> tuple[np.ndarray, bool]:
-    """Of these pairs of rows, for each class and other component the ``most`` that a hash draws first, and if there were more.
-
-    A pair stays if either side draws it.
-    """
-    h, root = rows[:, 1], rows[:, 5]
-    draw = ((h[pairs[:, 0]] ^ h[pairs[:, 1]]).view(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
-    draw = draw ^ (draw >> np.uint64(32))
-    _, one = np.unique(np.sort(h[pairs], axis=1), axis=0, return_index=True)  # a pair that meets under several keys is one
-    pairs, draw = pairs[one], draw[one]
-    stays = np.zeros(len(pairs), bool)
-    for side in (0, 1):
-        mine, other = h[pairs[:, side]], root[pairs[:, 1 - side]]
-        order = np.lexsort((draw, other, mine))
-        m, o = mine[order], other[order]
-        first = np.concatenate([[True], (m[1:] != m[:-1]) | (o[1:] != o[:-1])]) if len(m) else np.zeros(0, bool)
-        nth = np.arange(len(m)) - np.maximum.accumulate(np.where(first, np.arange(len(m)), 0)) if len(m) else m
-        stays[order[nth < most]] = True
-    return pairs[stays], not stays.all()
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], most: int, salt: int) -> Iterator[pa.RecordBatch]:
-    """Rows (seg, rows) in the order of segments -> (u, v, more): candidates, and whether there were more of them."""
+        near(i, i + d)
+    for a, n in zip(starts[mixed & (sizes > small)].tolist(), sizes[mixed & (sizes > small)].tolist(), strict=True):
+        f, y, todo, planes = words[a : a + n], x[a : a + n], np.ones(n, bool), None
+        while True:  # who isn't in the largest component yet meets all others, once
+            r = _ends(parent, y)
+            each, counts = np.unique(r, return_counts=True)
+            q = np.flatnonzero(todo & (r != each[counts.argmax()]))[:at_once]
+            if not len(q):
+                break
+            todo[q] = False
+            planes = planes or [bit_planes(f[b : b + LANES]) for b in range(0, n, LANES)]
+            for b, plane in enumerate(planes):
+                i, j = within(f[q], plane, min(LANES, n - b * LANES), RADIUS)
+                i, j = q[i], j + b * LANES
+                apart = r[i] != r[j]
+                near(i[apart] + a, j[apart] + a)
+    to = _ends(parent, np.arange(len(roots)))
+    moved = np.flatnonzero(to != np.arange(len(roots)))
+    return np.stack([roots[moved], roots[to[moved]]], axis=1)
+
+
+def _forests(batches: Iterator[pa.RecordBatch], at_once: int, small: int) -> Iterator[pa.RecordBatch]:
+    """Rows (seg, rows) in the order of segments -> (u, v): links that span the components of a segment."""
     now, held = None, []
 
     def out() -> pa.RecordBatch:
-        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 6) for x in held]) if held else np.zeros((0, 6), np.int64)
-        pairs, more = _bucket_pairs(rows, most, salt) if len(rows) else (np.zeros((0, 2), np.int64), False)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), more))], names=["u", "v", "more"])
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2 + len(_BITS)) for x in held])
+        links = _bucket_forest(rows, at_once, small)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
     for batch in batches:
         for seg, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -370,7 +318,113 @@ def _pairs(batches: Iterator[pa.RecordBatch], most: int, salt: int) -> Iterator[
                     yield out()
                 now, held = seg, []
             held.append(rows.as_buffer())
-    yield out()
+    if held:
+        yield out()
+
+
+def _near_links(classes: DataFrame, keys: str, roots: DataFrame | None, hot: dict[int, int]) -> DataFrame:
+    """(u, v): links that span the families by these keys; classes with the same root are one already."""
+    total = classes.agg(F.sum(F.size(keys))).first()[0] or 0
+    segments, at_once, small = max(1, -(-total // SEGMENT_KEYS)), CANDIDATES, SMALL
+    if roots is None:
+        rooted = classes.withColumn("root", F.col("h"))
+    else:
+        rooted = classes.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    packed = over_batches(rooted.select("root", *_BITS, keys), lambda it: _packed(it, segments, hot), "seg long, rows binary")
+    parts = packed.repartition(segments, "seg").sortWithinPartitions("seg")
+    return over_batches(parts, lambda it: _forests(it, at_once, small), "u long, v long")
+
+
+# -- the sets of a family
+
+
+def _exact_links(sets: list[np.ndarray], held: int) -> list[tuple[int, int]]:
+    """Links (place, place) from each set's component of sets that share four fifths: its first member, the set."""
+    n = np.array([len(s) for s in sets])
+    members = len(sets)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(ids)
+    owner = np.repeat(np.arange(members), n)
+    ids = ids[np.lexsort((ids, often[ids], owner))]  # rarest first in each set
+    ends = np.cumsum(n)
+    begins = ends - n
+    prefix = np.arange(len(ids)) - begins[owner] < (n - -(-4 * n // 5) + 1)[owner]
+    prefix &= often[ids] > 1
+    keys, has = ids[prefix], owner[prefix]
+    order = np.argsort(keys, kind="stable")
+    posted = has[order]
+    first = np.searchsorted(keys[order], keys)
+    last = np.searchsorted(keys[order], keys, "right")
+    own = np.searchsorted(has, np.arange(members + 1))
+    label, there = np.arange(members), np.zeros(len(often), bool)
+
+    def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = b - a
+        return np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    for i in range(members):
+        met = np.zeros(members, bool)
+        mine = slice(own[i], own[i + 1])
+        met[posted[ranges(first[mine], last[mine])]] = True
+        met[: i + 1] = False
+        met &= (label != label[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+        left = np.flatnonzero(met)
+        there[ids[begins[i] : ends[i]]] = True
+        while len(left):
+            m = max(1, int(np.searchsorted(np.cumsum(n[left]), held, "right")))
+            part, left = left[:m], left[m:]
+            both = np.add.reduceat(there[ids[ranges(begins[part], ends[part])]], np.cumsum(n[part]) - n[part], dtype=np.int64)
+            part = part[5 * both >= 4 * (n[i] + n[part] - both)]
+            if len(part):
+                joined = np.append(label[part], label[i])
+                label[np.isin(label, joined)] = joined.min()
+                left = left[label[left] != label[i]]
+        there[ids[begins[i] : ends[i]]] = False
+    return [(int(x), i) for i, x in enumerate(label) if x != i]
+
+
+def _confirmed(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(u, v): links that span the components, within the families that ``links`` make, of classes whose sets share four fifths.
+
+    Only texts that a filter lets through are turned into sets again; nothing else of the documents moves.
+    """
+    need = classes.select("h", "t", "size").join(connected_components(links).select(F.col("node").alias("h"), F.col("root").alias("f")), "h")
+    need = cut(need)
+    blocks = need.groupBy("f").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / SHINGLES)).alias("m"))
+    filters = docs.sparkSession.sparkContext.broadcast(_filter(need.select("t")))
+    held = HELD
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(_may_have(filters.value, batch.column(0).to_numpy())))
+            s = pa.array([_half(shingle_set(x.as_py(), words)).tobytes() for x in some.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), s], names=["t", "s"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, s = None, [], []
+
+        def out() -> pa.RecordBatch:
+            order = np.argsort(np.array(h)).tolist()  # the first is the smallest: all links of a component end there
+            got = [(h[order[i]], h[order[j]]) for i, j in _exact_links([s[i] for i in order], held)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for g, one, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if g != now:
+                    if len(h) > 1:
+                        yield out()
+                    now, h, s = g, [], []
+                h.append(one)
+                s.append(np.frombuffer(x.as_buffer(), np.uint32))
+        if len(h) > 1:
+            yield out()
+
+    found = over_batches(docs.select(F.xxhash64(utf8()).alias("t"), utf8().alias("text")), sets, "t long, s binary")
+    placed = need.join(blocks, "f").select("h", "t", "f", "m", F.pmod(F.xxhash64("h", "f"), F.col("m")).alias("b"))
+    others = F.when(F.col("m") == 1, F.array("b")).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda o: o != F.col("b")))
+    known = found.dropDuplicates(["t"]).join(placed, "t").select("h", "s", "f", "b", F.explode(others).alias("o"))
+    met = known.select(F.xxhash64("f", F.least("b", "o"), F.greatest("b", "o")).alias("g"), "h", "s")
+    return over_batches(met.repartition("g").sortWithinPartitions("g"), check, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5) -> DataFrame:
@@ -378,28 +432,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5) -> DataFrame:
     that are linked by a Jaccard similarity of 0.8 or more; equal roots are one component.
     """
     rows = cut(_profiles(docs, words))
-    one = rows.groupBy("h").agg(*[F.first(c).alias(c) for c in ("fp", "fq", "size", "few", "keys", "sk")], F.min("t").alias("t"))
+    one = rows.groupBy("h").agg(*[F.first(c).alias(c) for c in (*_BITS, "size", "few", "keys")], F.min("t").alias("t"))
     classes = cut(one)
-    links = cut(_confirmed(cut(_likely(_stars(classes), classes)), classes, docs, words))
-    total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    hot, segments = _hot_keys(classes, total), max(1, -(-total // SEGMENT_KEYS))
-    most, salt, tried = CANDIDATES, 0, None
-    while True:
-        roots = connected_components(links).withColumnRenamed("node", "h")
-        rooted = classes.join(roots, "h", "left").select("h", "fp", "fq", "size", F.coalesce("root", "h").alias("root"), "keys")
-        packed = over_batches(rooted, lambda it: _packed(it, segments, hot), "seg long, rows binary")
-        parts = packed.repartition(segments, "seg").sortWithinPartitions("seg")
-        found = over_batches(parts, lambda it, most=most, salt=salt: _pairs(it, most, salt), "u long, v long, more boolean")
-        found = cut(found.groupBy("u", "v").agg(F.max("more").alias("more")))
-        new = found.select("u", "v") if tried is None else found.select("u", "v").join(tried, ["u", "v"], "left_anti")
-        likely = cut(_likely(new, classes))
-        if not likely.isEmpty():
-            links = cut(links.union(_confirmed(likely, classes, docs, words)))
-        if found.filter("more").isEmpty():
-            break
-        tried = found.select("u", "v") if tried is None else cut(tried.union(found.select("u", "v")).distinct())
-        most, salt = 4 * most, salt + 1
-    roots = connected_components(links).withColumnRenamed("node", "h")
+    hot = _hot_keys(classes, classes.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    joined = connected_components(cut(_near_links(classes, "few", None, hot)))
+    links = cut(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_near_links(classes, "keys", joined, hot)))
+    roots = connected_components(cut(_confirmed(links, classes, docs, words))).withColumnRenamed("node", "h")
     return rows.select("id", "h").join(roots, "h", "left").select("id", "h", F.coalesce("root", "h").alias("root"))
 
 
